@@ -69,7 +69,7 @@ def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int,
     live, time, turn = np.arange(len(doc)), np.zeros(len(doc)), 0
     while len(live):
         turn += 1
-        draw = tb.mix(element[live] + np.uint64(turn) * np.uint64(0xD1342543DE82EF95))
+        draw = tb.mix(element[live] + np.uint64(turn * 0xD1342543DE82EF95 % (1 << 64)))
         time = time - np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) * _U53) / weight[live]
         place = doc[live] * registers + (tb.mix(draw ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(registers)).astype(np.int64)
         np.minimum.at(best, place, time)

@@ -1,6 +1,7 @@
 """Toxicity by a counterfactual-regularised classifier.
 
-A text is the set of its words (hashed; ASCII letters lower-cased). A logistic
+A text is the set of its words and of longer words' first bytes (hashed; ASCII
+letters lower-cased). A logistic
 regression is fitted on labelled texts over the words that tell the two labels
 apart. Its loss has one more term: in each training text, identity terms are
 swapped for another of their group, and a change of the score is penalised, so
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from . import textbatch as tb
 
-MOST_TRAIN, FEATURES, CUT = 20_000, 2_000, 0.7
-PENALTY, RIDGE, STEPS = 4.0, 1e-3, 400
+MOST_TRAIN, FEATURES, CUT, PREFIXES = 8_000, 2_000, 0.7, (6, 8)
+PENALTY, RIDGE, STEPS = 4.0, 1e-4, 600
 
 #: Groups of identity terms; each is swapped for the next of its group. Fixed values.
 IDENTITIES = (
@@ -45,10 +46,15 @@ _TABLE = tb._BYTES[_LOWER]
 
 
 def features(texts: tb.Texts) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct words of each text: (text, hash), in order. Hashes are cut to 40 bits, so that both fit one number."""
+    """Distinct words and prefixes of each text: (text, hash), in order. Hashes are cut to 40 bits, so that both fit one number."""
     spans = tb.runs(_WORD[texts.data], texts)
-    hashed = tb.hashes(texts, spans, _TABLE) >> np.uint64(24)
-    both = np.unique((spans.doc.astype(np.uint64) << np.uint64(40)) | hashed)
+    found = [(spans.doc, tb.hashes(texts, spans, _TABLE))]
+    for n in PREFIXES:
+        long = spans.end - spans.start > n
+        cut = tb.Spans(spans.start[long], spans.start[long] + n, spans.doc[long])
+        found.append((cut.doc, tb.mix(tb.hashes(texts, cut, _TABLE) + np.uint64(n))))
+    doc, hashed = (np.concatenate(x) for x in zip(*found, strict=True))
+    both = np.unique((doc.astype(np.uint64) << np.uint64(40)) | (hashed >> np.uint64(24)))
     return (both >> np.uint64(40)).astype(np.int64), (both & np.uint64((1 << 40) - 1)).astype(np.int64)
 
 
@@ -58,7 +64,7 @@ def swaps(groups=IDENTITIES) -> dict[int, int]:
     for group in groups:
         for w in group:
             _, _, texts = next(tb.slices(pa.array([w])))
-            hashed[w] = int(features(texts)[1][0])
+            hashed[w] = int((tb.hashes(texts, tb.runs(_WORD[texts.data], texts), _TABLE) >> np.uint64(24))[0])
     return {hashed[w]: hashed[group[(i + 1) % len(group)]] for group in groups for i, w in enumerate(group)}
 
 
@@ -92,7 +98,8 @@ def fit(sets: list[np.ndarray], labels: np.ndarray, groups=IDENTITIES, penalty:
     p, q = on / positive, (all_ - on) / (n - positive)
     mean = all_ / n
     z = np.abs(p - q) / np.sqrt(np.maximum(mean * (1 - mean), 1e-12) * (1 / positive + 1 / (n - positive)))
-    z[all_ < 3] = 0
+    # among so many words, some are this far apart by chance
+    z[(all_ < 3) | (z < np.sqrt(2 * np.log(len(kinds))) + 0.5)] = 0
     swapped = swaps(groups)
     chosen = np.unique(np.concatenate([kinds[np.argsort(-z, kind="stable")[:most]][: int((z > 0).sum())], np.array(list(swapped), np.int64)]))
     place = {int(k): i for i, k in enumerate(chosen)}
