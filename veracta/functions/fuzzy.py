@@ -122,6 +122,11 @@ def similarity(a: Column, b: Column, kind: str = "ratio") -> Column:
 
 def lcs_column(a: Column, b: Column) -> Column:
     """LCS length in Catalyst: one row of the table after the other. Quadratic; for short strings or arrays of words."""
+    # both lists are bound once, or each step would make them anew
+    return F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda x: _lcs_rows(x["a"], x["b"]))[0]
+
+
+def _lcs_rows(a: Column, b: Column) -> Column:
     zero = F.array_repeat(F.lit(0), F.size(b) + 1)
 
     def next_row(row: Column, x: Column) -> Column:

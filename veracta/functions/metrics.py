@@ -30,6 +30,12 @@ def cer(pred: Column, ref: Column) -> Column:
     return F.when(r != "", F.levenshtein(p, r) / F.char_length(r)).otherwise(F.when(p == "", 0.0).otherwise(1.0))
 
 
+def _bound(pred: Column, ref: Column, body) -> Column:
+    """``body(p, r)`` over both word lists. They are bound once: what stands inside a lambda is worked out at each step."""
+    pair = F.array(F.struct(words(normal(pred)).alias("p"), words(normal(ref)).alias("r")))
+    return F.transform(pair, lambda x: body(x["p"], x["r"]))[0]
+
+
 def as_letters(pred: Column, ref: Column) -> tuple[Column, Column]:
     """Both word lists as strings in which each distinct word is one private character, so that built-in functions
     on strings work on words. Up to 6,400 distinct words."""
@@ -43,17 +49,23 @@ def as_letters(pred: Column, ref: Column) -> tuple[Column, Column]:
 
 def wer(pred: Column, ref: Column) -> Column:
     """Edit distance in words over the reference's number of them."""
-    p, r = words(normal(pred)), words(normal(ref))
-    a, b = as_letters(p, r)
-    return F.when(F.size(r) > 0, F.levenshtein(a, b) / F.size(r)).otherwise(F.when(F.size(p) == 0, 0.0).otherwise(1.0))
+
+    def body(p: Column, r: Column) -> Column:
+        a, b = as_letters(p, r)
+        return F.when(F.size(r) > 0, F.levenshtein(a, b) / F.size(r)).otherwise(F.when(F.size(p) == 0, 0.0).otherwise(1.0))
+
+    return _bound(pred, ref, body)
 
 
 def rouge_l(pred: Column, ref: Column) -> Column:
     """F1 of the longest common subsequence of words."""
-    p, r = words(normal(pred)), words(normal(ref))
-    common = lcs_column(p, r)
-    precision, recall = common / F.size(p), common / F.size(r)
-    return F.when((F.size(p) == 0) | (F.size(r) == 0) | (common == 0), 0.0).otherwise(2 * precision * recall / (precision + recall))
+
+    def body(p: Column, r: Column) -> Column:
+        total = F.size(p) + F.size(r)
+        # 2PR / (P + R) with P = c / size(p), R = c / size(r)
+        return F.when((F.size(p) == 0) | (F.size(r) == 0), 0.0).otherwise(2.0 * lcs_column(p, r) / total)
+
+    return _bound(pred, ref, body)
 
 
 def _grams(ws: Column, n: int) -> Column:
@@ -68,15 +80,17 @@ def _clipped(a: Column, b: Column):
 
 def bleu(pred: Column, ref: Column, most: int = 4) -> Column:
     """Sentence BLEU with 1 added above and below for each order, and a brevity penalty whose base is 2.718281828."""
-    p, r = words(normal(pred)), words(normal(ref))
-    score = F.lit(1.0)
-    for n in range(1, most + 1):
-        a, b = _grams(p, n), _grams(r, n)
-
-        overlap = F.aggregate(F.transform(F.array_distinct(a), _clipped(a, b)), F.lit(0), lambda s, x: s + x)
-        score = score * ((overlap + 1) / (F.greatest(F.size(a), F.lit(1)) + 1))
-    brevity = F.when(F.size(p) < F.size(r), F.least(F.lit(1.0), F.pow(F.lit(2.718281828), 1 - F.size(r) / F.size(p)))).otherwise(1.0)
-    return F.when((F.size(p) == 0) | (F.size(r) == 0), 0.0).otherwise(F.pow(score, F.lit(1.0 / most)) * brevity)
+
+    def body(p: Column, r: Column) -> Column:
+        score = F.lit(1.0)
+        for n in range(1, most + 1):
+            grams = F.array(F.struct(_grams(p, n).alias("a"), _grams(r, n).alias("b")))
+            overlap = F.transform(grams, lambda g: F.aggregate(F.transform(F.array_distinct(g["a"]), _clipped(g["a"], g["b"])), F.lit(0), lambda s, x: s + x))[0]
+            score = score * ((overlap + 1) / (F.greatest(F.size(p) - n + 1, F.lit(1)) + 1))
+        brevity = F.when(F.size(p) < F.size(r), F.least(F.lit(1.0), F.pow(F.lit(2.718281828), 1 - F.size(r) / F.size(p)))).otherwise(1.0)
+        return F.when((F.size(p) == 0) | (F.size(r) == 0), 0.0).otherwise(F.pow(score, F.lit(1.0 / most)) * brevity)
+
+    return _bound(pred, ref, body)
 
 
 def prf(tp: Column, predicted: Column, expected: Column) -> tuple[Column, Column, Column]:
