@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 
 def lcs(a, b) -> int:
     """Length of the longest common subsequence, a whole row of the table in one integer."""
@@ -123,7 +125,7 @@ def similarity(a: Column, b: Column, kind: str = "ratio") -> Column:
 def lcs_column(a: Column, b: Column) -> Column:
     """LCS length in Catalyst: one row of the table after the other. Quadratic; for short strings or arrays of words."""
     # both lists are bound once, or each step would make them anew
-    return F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda x: _lcs_rows(x["a"], x["b"]))[0]
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda x: _lcs_rows(x["a"], x["b"]))
 
 
 def _lcs_rows(a: Column, b: Column) -> Column:

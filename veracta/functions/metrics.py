@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
 from .fuzzy import lcs_column
 from .text import normal, words
 
@@ -32,8 +33,8 @@ def cer(pred: Column, ref: Column) -> Column:
 
 def _bound(pred: Column, ref: Column, body) -> Column:
     """``body(p, r)`` over both word lists. They are bound once: what stands inside a lambda is worked out at each step."""
-    pair = F.array(F.struct(words(normal(pred)).alias("p"), words(normal(ref)).alias("r")))
-    return F.transform(pair, lambda x: body(x["p"], x["r"]))[0]
+    pair = F.struct(words(normal(pred)).alias("p"), words(normal(ref)).alias("r"))
+    return let(pair, lambda x: body(x["p"], x["r"]))
 
 
 def as_letters(pred: Column, ref: Column) -> tuple[Column, Column]:
@@ -84,8 +85,8 @@ def bleu(pred: Column, ref: Column, most: int = 4) -> Column:
     def body(p: Column, r: Column) -> Column:
         score = F.lit(1.0)
         for n in range(1, most + 1):
-            grams = F.array(F.struct(_grams(p, n).alias("a"), _grams(r, n).alias("b")))
-            overlap = F.transform(grams, lambda g: F.aggregate(F.transform(F.array_distinct(g["a"]), _clipped(g["a"], g["b"])), F.lit(0), lambda s, x: s + x))[0]
+            grams = F.struct(_grams(p, n).alias("a"), _grams(r, n).alias("b"))
+            overlap = let(grams, lambda g: F.aggregate(F.transform(F.array_distinct(g["a"]), _clipped(g["a"], g["b"])), F.lit(0), lambda s, x: s + x))
             score = score * ((overlap + 1) / (F.greatest(F.size(p) - n + 1, F.lit(1)) + 1))
         brevity = F.when(F.size(p) < F.size(r), F.least(F.lit(1.0), F.pow(F.lit(2.718281828), 1 - F.size(r) / F.size(p)))).otherwise(1.0)
         return F.when((F.size(p) == 0) | (F.size(r) == 0), 0.0).otherwise(F.pow(score, F.lit(1.0 / most)) * brevity)

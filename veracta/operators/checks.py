@@ -10,12 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import dates_in_text, digit_date, id_birthdate, month_of, number_tokens, tokens_to_int, word_date
+from ..functions.dates import dates_in_text, id_birthdate, number_tokens, read_dates, tokens_to_int
 from ..functions.fuzzy import similarity
 from ..functions.text import empty, fold
 
 #: Field names that the rules read. Fixed values.
 DATES = ("date_enregistrement", "date_naissance", "date_declaration", "date_etablissement", "date_acte", "date_delivrance", "pere_date_naissance", "mere_date_naissance")
+ALL_DATES = (*DATES, "date_marge")
 REGISTERED = ("date_enregistrement", "date_declaration", "date_etablissement", "date_acte")
 REFERENCES = ("annee", "annee_registre", "reference", "acte_numero", "registre", "numero_acte")
 NUMBERS = ("nid_numero", "numero_identite", "enfant_nid")
@@ -37,30 +38,21 @@ def finding(field: str | Column, level: str | Column, message: str | Column) ->
     return F.struct(one(field).alias("field"), one(level).alias("level"), one(message).alias("message"))
 
 
-def _date(text: Column, tokens: Column, months: Column) -> Column:
-    digits, found = digit_date(text)
-    return F.when(digits, found).otherwise(word_date(tokens, months))
-
-
 def with_dates(records: DataFrame) -> DataFrame:
-    """``records`` with ``d_<name>`` and ``both_<name>`` (words' and digits' date of one raw text) for each date field.
+    """``records`` with ``d`` (for each date field what its value and its raw text say), each field's date, and the ids' dates.
 
-    All texts' tokens go through the month search in one column, so one Arrow function serves every field.
+    Each is a column of its own, so that the rules' expressions name it and don't repeat it.
     """
-    names = [*DATES, "date_marge"]
-    texts = [t for n in names for t in _get(n)]
-    every = records.withColumn("_tokens", F.array(*(number_tokens(F.coalesce(t, F.lit(""))) for t in texts)))
-    for i in range(len(texts)):
-        every = every.withColumn(f"_m{i}", month_of(F.col("_tokens")[i]))
-    out = {}
-    for k, n in enumerate(names):
-        value, raw = _get(n)
-        dates = [_date(t, F.col("_tokens")[i], F.col(f"_m{i}")) for t, i in ((value, 2 * k), (raw, 2 * k + 1))]
-        out[f"d_{n}"] = F.coalesce(*dates)
-        words = word_date(F.col("_tokens")[2 * k + 1], F.col(f"_m{2 * k + 1}"))
-        digits = F.try_element_at(dates_in_text(raw), F.lit(1))
-        out[f"both_{n}"] = F.when(words.isNotNull() & digits.isNotNull(), F.struct(words.alias("words"), digits.alias("digits")))
-    return every.withColumns(out).drop("_tokens", *(f"_m{i}" for i in range(len(texts))))
+    texts = [t for n in ALL_DATES for t in _get(n)]
+    out = records.withColumn("d", read_dates(F.array(*texts))).withColumns({f"d_{n}": _parsed(n) for n in ALL_DATES})
+    out = out.withColumn("d_registered", F.coalesce(*(F.col(f"d_{n}") for n in REGISTERED)))
+    return out.withColumns({f"id_{n}": id_birthdate(F.coalesce(*_get(n)), F.col("checks.id_birthdate_format"), F.col("d_date_naissance")) for n in NUMBERS})
+
+
+def _parsed(name: str) -> Column:
+    """A field's date: of its value, else of its raw text."""
+    k = 2 * ALL_DATES.index(name)
+    return F.coalesce(F.col("d")[k]["date"], F.col("d")[k + 1]["date"])
 
 
 def best_places(records: DataFrame, gazetteers: DataFrame | None = None) -> DataFrame:
@@ -89,12 +81,12 @@ def findings(records: DataFrame) -> DataFrame:
     add(F.when(sex.isNotNull(), F.when(fold(sex).isin("masculin", "feminin"), finding("sexe", "ok", "valid sex")).otherwise(finding("sexe", "fail", "not a value of the register"))))
     for n in DATES:
         value, _ = _get(n)
-        both = F.col(f"both_{n}")
+        raw = F.col("d")[2 * ALL_DATES.index(n) + 1]
         add(
             F.when(value.isNotNull() & d(n).isNull(), finding(n, "warn", "date can't be read")),
-            F.when(d(n).isNotNull() & both.isNotNull(), F.when(both["words"] == both["digits"], finding(n, "ok", "words and digits agree")).otherwise(finding(n, "warn", "words and digits differ"))),
+            F.when(d(n).isNotNull() & raw["words"].isNotNull() & raw["digits"].isNotNull(), F.when(raw["words"] == raw["digits"], finding(n, "ok", "words and digits agree")).otherwise(finding(n, "warn", "words and digits differ"))),
         )
-    birth, registered = d("date_naissance"), F.coalesce(*(d(n) for n in REGISTERED))
+    birth, registered = d("date_naissance"), d("registered")
     where = F.coalesce(*(F.when(d(n).isNotNull(), F.lit(n)) for n in REGISTERED), F.lit(REGISTERED[0]))
     both = birth.isNotNull() & registered.isNotNull()
     late = F.datediff(registered, birth)
@@ -112,10 +104,10 @@ def findings(records: DataFrame) -> DataFrame:
         value, raw = _get(n)
         year = F.regexp_extract(F.concat_ws(" ", value, F.nullif(raw, F.lit(""))), r"\b((?:19|20)\d{2})\b", 1).try_cast("int")
         add(F.when(F.coalesce(F.col("checks.reference_year"), F.lit(False)) & registered.isNotNull() & year.isNotNull(), F.when(year == F.year(registered), finding(n, "ok", "year is the act's")).otherwise(finding(n, "warn", "year differs from the act's"))))
-    number = [id_birthdate(F.coalesce(*_get(n)), F.col("checks.id_birthdate_format"), birth) for n in NUMBERS]
     asked = F.col("checks.id_birthdate_format").isin("ddmmyy", "yymmdd", "cyymmdd") & birth.isNotNull()
     done = F.lit(False)
-    for n, own in zip(NUMBERS, number, strict=True):
+    for n in NUMBERS:
+        own = F.col(f"id_{n}")
         usable = own["date"].isNotNull()
         add(F.when(asked & ~done & own.isNotNull(), F.when(~usable, finding(n, "warn", "number's digits are no date")).when(own["date"] == birth, finding(n, "ok", "number holds the birth date")).otherwise(finding(n, "warn", "number's date differs"))))
         done = done | F.coalesce(usable, F.lit(False))

@@ -96,7 +96,7 @@ def score(merged: DataFrame, findings: DataFrame | None = None) -> DataFrame:
         own = findings.groupBy("doc_id", "field").agg(F.array_sort(F.collect_list(F.struct("ord", "field", "level", "message"))).alias("fs"))
         own = own.withColumn("findings", F.transform("fs", lambda f: F.struct(f["field"].alias("field"), f["level"].alias("level"), f["message"].alias("message")))).drop("fs")
         nested = merged.join(own, ["doc_id", "field"], "left").withColumn("findings", F.coalesce("findings", F.array().cast("array<struct<field:string,level:string,message:string>>")))
-    has = {level: F.exists("findings", lambda f, level=level: f["level"] == level) for level in ("ok", "warn", "fail")}
+    has = {level: F.array_contains(F.col("findings.level"), F.lit(level)) for level in ("ok", "warn", "fail")}
     s = raw_score(F.col("model_confidence"), F.col("agreement"), F.col("anchor_interpolated"), F.col("value"), has["ok"], has["warn"], has["fail"])
     out = nested.withColumn("raw_score", s)
     return out.withColumns({"score": F.round("raw_score", 3), "band": band(F.col("raw_score")), "needs_review": F.col("raw_score") < HIGH})
