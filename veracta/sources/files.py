@@ -65,10 +65,23 @@ def metrics_csv(spark: SparkSession, path: str, handwritten: bool | None = False
 
 
 def settings(spark: SparkSession, path: str, real: dict[str, str]) -> dict[str, str]:
-    """KEY=VALUE lines of one small file; what is really set wins."""
-    line = F.regexp_extract_all("value", F.lit(r"(?m)^\s*([A-Za-z_][A-Za-z0-9_]*\s*=.*)$"), 1)
-    rows = spark.read.text(path, wholetext=True).select(F.explode(line).alias("l")).select(F.trim(F.substring_index("l", "=", 1)).alias("k"), F.trim(F.expr("substr(l, instr(l, '=') + 1)")).alias("v"))
-    found = {r.k: r.v for r in rows.select("k", F.regexp_replace("v", "^(['\"])(.*)\\1$", "$2").alias("v")).collect()}
+    """KEY=VALUE lines of one small file, quotes taken off; what is really set wins.
+
+    It is opened through Hadoop's file system, as Spark's readers pass over names that begin with a dot.
+    """
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    with_ = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
+    try:
+        text = jvm.org.apache.commons.io.IOUtils.toString(with_, "UTF-8")
+    finally:
+        with_.close()
+    found = {}
+    for line in text.splitlines():
+        key, sep, value = line.partition("=")
+        if sep and (key := key.strip()).isidentifier():
+            value = value.strip()
+            found[key] = value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "'\"" else value
     return found | {k: v for k, v in real.items() if k in found}
 
 
