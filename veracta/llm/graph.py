@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import forget, materialise
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -30,9 +30,11 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
     more than the edges' number ever stand; nothing is collected but a checksum.
     """
     edges = edges.select("a", "b").where("a != b")
-    before = None
+    before = None  # nothing is forgotten that this function didn't write
     for _ in range(most):
-        edges = materialise(_small(_large(edges)), "stars")
+        past, edges = edges, materialise(_small(_large(edges)), "stars")
+        if before is not None:
+            forget(past)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before or not now[0]:
             break

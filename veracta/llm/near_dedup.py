@@ -10,12 +10,13 @@ nothing, so a shingle stops early.
 Exact copies share one representative first. Its signature is cut into bands,
 and each band's bucket is compared with one leader, the member that meets most
 others; that costs one row for each member, not one for each pair. What is
-left are buckets whose members did not all come into one class: there the
-members outside the largest class are compared with all members of other
-classes. A pair counts as a link if its exact similarity is high enough.
+left are buckets whose members did not all come into one class: in small ones
+the members outside the largest class are compared with all members of other
+classes, in large ones with those that prefix and position filters over rare
+shingles can't rule out (for plain Jaccard, without loss). A pair counts as a link if its exact similarity is high enough.
 
 Nulls and edge cases: a text that is null or has no word is in a class of its
-own with no links. A text of one to four words is one shingle. Rows with a
+own. A text of one to four words is one shingle. Rows with a
 null ``doc_id`` are returned with a null class. Repeated rows stay repeated.
 Extra columns are ignored. An empty table gives an empty result.
 """
@@ -26,14 +27,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
 from .graph import components
-from .storage import materialise
+from .storage import forget, materialise
 
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 25, 5
+#: Buckets up to this size are compared pair by pair; larger ones by rare shingles.
+PAIRWISE = 64
 _U53 = 1.0 / (1 << 53)
 
 
@@ -94,8 +97,10 @@ def _describe(n_words: int, bands: int, rows: int):
                 short = (found >> np.uint64(32)).astype("<u4")  # found is in order, so this is too
                 sets, counts = [], []
                 for a, b in zip(first[:-1], first[1:], strict=True):
-                    sets.append(short[a:b].tobytes())
-                    counts.append(weight[a:b].astype("<u4").tobytes() if (weight[a:b] > 1).any() else b"")
+                    at = np.flatnonzero(np.append(True, short[a + 1 : b] != short[a : b - 1])) if b > a else np.zeros(0, np.int64)
+                    own = np.add.reduceat(weight[a:b], at) if len(at) else at  # two shingles in some billions share 32 bits
+                    sets.append(short[a:b][at].tobytes())
+                    counts.append(own.astype("<u4").tobytes() if (own > 1).any() else b"")
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo),
@@ -142,12 +147,39 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _links(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs that are similar enough. Sets whose sizes differ too much can't be, unless shingles repeat."""
+    """The pairs that are similar enough."""
     for side in "ab":
         own = sets.select(F.col("rep").alias(side), F.col("members").alias(f"{side}m"), F.col("weights").alias(f"{side}w"))
         pairs = pairs.join(own, side)
     cols = ["a", "b", "am", "aw", "bm", "bw"]
-    return pairs.select(*cols).mapInArrow(_verify, "a long, b long, similarity double").where(F.col("similarity") >= threshold)
+    return pairs.select(*cols).mapInArrow(_verify, "a long, b long, similarity double").where(F.col("similarity") >= threshold).select("a", "b").distinct()
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            own = np.frombuffer(batch.column("members")[k].as_buffer(), "<u4").astype(np.int64)
+            rest = [pa.array(np.full(len(own), batch.column(c)[k].as_py(), kind)) for c, kind in (("rep", np.int64), ("class", np.int64), ("outside", bool))]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(np.full(len(own), len(own))), pa.array(own)], names=["rep", "class", "outside", "n", "token"])
+
+
+def _by_prefix(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of ``members(rep, class, outside)`` in different classes, one of them outside, that can be similar.
+
+    With each set's shingles from rare to frequent, two similar sets share one among the first few, and it stands so
+    early that enough can follow: prefix and position filters, which lose no pair. A text's own changes are its rarest
+    shingles, so one that is far from the rest of its group meets hardly any of it.
+    """
+    every = sets.join(members, "rep").select("rep", "class", "outside", "members").mapInArrow(_tokens, "rep long, class long, outside boolean, n long, token long")
+    often = every.groupBy("token").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "token"))
+    first = every.join(often, "token").withColumn("at", place).where(F.col("at") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1)
+    first = materialise(first.select("rep", "class", "outside", "n", "token", "at"), "prefixes")
+    one, two = (first.select("token", *(F.col(c).alias(f"{p}{c}") for c in ("rep", "class", "outside", "n", "at"))) for p in "ab")
+    follows = 1 + F.least(F.col("an") - F.col("aat"), F.col("bn") - F.col("bat"))
+    enough = follows >= F.lit(threshold / (1 + threshold)) * (F.col("an") + F.col("bn")) - 1e-9
+    met = one.where("aoutside").join(two, (one["token"] == two["token"]) & (F.col("aclass") != F.col("bclass")) & enough)
+    return met.select(F.least("arep", "brep").alias("a"), F.greatest("arep", "brep").alias("b"))
 
 
 def _plausible(threshold: float):
@@ -158,20 +190,26 @@ def _plausible(threshold: float):
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n_words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id``, ``class_id`` (least doc_id of its class), ``n_copies`` (rows
-    with the same words), ``n_links`` (different texts that are similar enough to this one)."""
+    with the same words)."""
     kinds = "doc_id long, k1 long, k2 long, n_set long, bands array<long>, members binary, weights binary"
-    every = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(_describe(n_words, bands, rows), kinds), "shingles")
-    filled = every.where(F.col("doc_id").isNotNull() & (F.col("n_set") > 0))
+    described = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(_describe(n_words, bands, rows), kinds), "shingles")
+    every = materialise(described.select("doc_id", "k1", "k2", "n_set"), "keys")
+    filled = described.where(F.col("doc_id").isNotNull() & (F.col("n_set") > 0))
     copies = materialise(filled.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")), "copies")
-    # one row for each distinct text; a row that is repeated with its id counts once
-    chosen = filled.join(copies.select("k1", "k2", F.col("rep").alias("doc_id")), ["k1", "k2", "doc_id"], "left_semi")
-    sets = materialise(chosen.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n_set", (F.octet_length("weights") > 0).alias("heavy"), "bands", "members", "weights"), "sets")
+    # one row for each distinct text, without its shingles
+    slim = filled.select("doc_id", "k1", "k2", "n_set", (F.octet_length("weights") > 0).alias("heavy"), "bands")
+    chosen = slim.join(copies.select("k1", "k2", F.col("rep").alias("doc_id")), ["k1", "k2", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
 
-    placed = sets.select("rep", F.col("n_set").alias("n"), "heavy", F.posexplode("bands").alias("band", "bucket"))
+    placed = chosen.select(F.col("doc_id").alias("rep"), F.col("n_set").alias("n"), "heavy", F.posexplode("bands").alias("band", "bucket"))
     sizes = placed.groupBy("band", "bucket").agg(F.count("*").alias("size")).where("size > 1")
     placed = placed.join(sizes, ["band", "bucket"])
+    placed = buckets = materialise(placed, "buckets")
     central = placed.groupBy("rep").agg(F.sum("size").alias("meets"))
-    placed = materialise(placed.join(central, "rep"), "buckets")
+    # the shingles of texts that share a bucket with another; those of all others aren't needed again
+    met = described.select(F.col("doc_id").alias("rep"), "k1", "k2", "members", "weights").join(central.select("rep"), "rep", "left_semi")
+    sets = materialise(met.join(copies.select("k1", "k2", "rep"), ["k1", "k2", "rep"], "left_semi").select("rep", "members", "weights"), "sets")
+    forget(described)
+    placed = placed.join(central, "rep")
 
     leaders = placed.groupBy("band", "bucket").agg(F.max(F.struct("meets", (-F.col("rep")).alias("rep"), "n", "heavy")).alias("lead"))
     pairs = (
@@ -189,23 +227,25 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n_words: int
     known = placed.where("size > 2").join(classes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
     parts = known.groupBy("band", "bucket", "class").agg(F.count("*").alias("part"))
     largest = parts.groupBy("band", "bucket").agg(F.max(F.struct("part", "class")).alias("top"), F.count("*").alias("classes")).where("classes > 1")
-    known = known.join(largest, ["band", "bucket"]).select("band", "bucket", "rep", "n", "heavy", "class", (F.col("class") == F.col("top.class")).alias("main"))
-    outside = known.where(~F.col("main")).select("band", "bucket", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("heavy").alias("ah"), F.col("class").alias("ac"))
-    others = known.select("band", "bucket", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("heavy").alias("bh"), F.col("class").alias("bc"), "main")
+    known = known.join(largest, ["band", "bucket"]).select("band", "bucket", "size", "rep", "n", "heavy", "class", (F.col("class") == F.col("top.class")).alias("main"))
+    known = materialise(known, "mixed")
+    few = known.where(F.col("size") <= PAIRWISE)
+    outside = few.where(~F.col("main")).select("band", "bucket", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("heavy").alias("ah"), F.col("class").alias("ac"))
+    others = few.select("band", "bucket", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("heavy").alias("bh"), F.col("class").alias("bc"), "main")
     rest = (
         outside.join(others, ["band", "bucket"])
         .withColumn("heavy", F.col("ah") | F.col("bh"))
         .where((F.col("ac") != F.col("bc")) & (F.col("main") | (F.col("a") < F.col("b"))) & _plausible(threshold))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-        .join(tried, ["a", "b"], "left_anti")
     )
-    links = materialise(links.unionByName(_links(rest, sets, threshold)), "all-links")
+    many = known.where(F.col("size") > PAIRWISE).groupBy("rep", "class").agg((~F.bool_and("main")).alias("outside"))
+    rest = rest.unionByName(_by_prefix(many, sets, threshold)).distinct().join(tried, ["a", "b"], "left_anti")
+    some, links = links, materialise(links.unionByName(_links(rest, sets, threshold)), "all-links")
     classes = components(links)
+    for table in (buckets, sets, tried, some, known, links):
+        forget(table)  # what is returned reads keys, copies and classes only
 
-    ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    member = copies.join(classes.withColumnRenamed("node", "rep"), "rep", "left").join(ends, "rep", "left")
-    member = member.select("k1", "k2", F.coalesce("class", "rep").alias("class"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    member = copies.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("class", "rep").alias("class"), "n_copies")
     # every row finds its text's class; a text that a third of the rows share is a skewed join, which Spark can split
     found = every.select("doc_id", "k1", "k2", "n_set").join(member, ["k1", "k2"], "left")
     own = F.col("doc_id").isNull() | (F.col("n_set") == 0) | F.col("class").isNull()
@@ -213,7 +253,6 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n_words: int
         "doc_id",
         F.when(own, F.col("doc_id")).otherwise(F.col("class")).alias("class_id"),
         F.when(own, F.lit(1)).otherwise(F.col("n_copies")).cast("long").alias("n_copies"),
-        F.when(own, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"),
     )
 
 

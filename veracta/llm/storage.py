@@ -32,3 +32,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.parquet(path)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files of a table that ``materialise`` gave and that nothing reads again."""
+    spark = df.sparkSession
+    for path in sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()}):
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
