@@ -2,8 +2,9 @@
 
 An image is a binary PGM (8 bit). Corners are found at several scales; each
 gets 256 binary intensity tests whose pattern is turned by the patch's own
-orientation. Descriptors are cut into eight keys of 32 bits: two that differ in
-few bits agree in a whole key, which the Hamming tables join on. The matches of
+orientation. Descriptors are cut into four keys of 64 bits: of an image's
+descriptors some agree with a copy's in a whole key, which the Hamming tables
+join on (keys of 32 bits met half of all strangers, as near tests say the same). The matches of
 two images count if one similarity transform (from one match's places, scales
 and orientations) brings enough others into place.
 
@@ -29,9 +30,10 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .storage import materialise
+from .textbatch import mix
 
-SCALES, CORNERS, BITS, KEYS = (1.0, 1.5, 2.25), (14, 8, 6), 256, 8
-MARGIN, NEAR_BITS, INLIERS, REACH = 8, 72, 5, 3.0
+SCALES, CORNERS, BITS, KEYS, TABLES = (1.0, 1.5, 2.25), (20, 10, 4), 256, 8, 4
+MARGIN, NEAR_BITS, INLIERS, REACH = 8, 64, 6, 3.0
 _rng = np.random.default_rng(20240)
 _PATTERN = np.clip(_rng.normal(0, 3.2, (BITS, 4)), -6.5, 6.5)
 _TURNS = 32
@@ -141,9 +143,9 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for content in some.column(1):
                 image = decode(content.as_py())
                 at, keys = describe(image) if image is not None else (np.zeros((0, 4)), np.zeros((0, KEYS), np.uint32))
-                rows.append((at.astype("<f4").tobytes(), keys.astype("<u4").tobytes(), keys.astype(np.int64).ravel().tolist()))
-            cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.binary(), pa.list_(pa.int64())), strict=True)]
-            yield pa.RecordBatch.from_arrays([some.column(0), *cols], names=["rep", "places", "tests", "keys"])
+                rows.append((at.astype("<f4").tobytes(), keys.astype("<u4").tobytes()))
+            cols = [pa.array(c, pa.binary()) for c in zip(*rows, strict=True)]
+            yield pa.RecordBatch.from_arrays([some.column(0), *cols], names=["rep", "places", "tests"])
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,62 +165,71 @@ def _links(pairs: DataFrame, images: DataFrame, inliers: int) -> DataFrame:
 
 def media_copies(media: DataFrame, inliers: int = INLIERS) -> DataFrame:
     """One row for each row of ``media(media_id, content)``: ``media_id``, ``class_id`` (least id of its class),
-    ``n_copies`` (rows with the same bytes), ``n_links`` (other images that show the same)."""
+    ``n_copies`` (rows with the same bytes)."""
     rows = media.select(F.col("media_id").cast("long").alias("media_id"), F.col("content").cast("binary").alias("content"))
     rows = rows.withColumn("md", F.sha2("content", 256))
     every = materialise(rows.select("media_id", "md"), "media")
     copies = materialise(every.where("md is not null and media_id is not null").groupBy("md").agg(F.min("media_id").alias("rep"), F.count("*").alias("n_copies")), "media-copies")
     chosen = rows.join(copies.select("md", F.col("rep").alias("media_id")), ["md", "media_id"], "left_semi").dropDuplicates(["media_id"])
-    images = materialise(chosen.select("media_id", "content").mapInArrow(_described, "rep long, places binary, tests binary, keys array<long>"), "images")
-
-    placed = images.select("rep", F.posexplode("keys").alias("at", "key")).select("rep", (F.col("at") % KEYS).alias("table"), "key").distinct()
-    sizes = placed.groupBy("table", "key").agg(F.count("*").alias("size")).where("size > 1")
-    placed = placed.join(sizes, ["table", "key"])
+    images = materialise(chosen.select("media_id", "content").mapInArrow(_described, "rep long, places binary, tests binary"), "images")
+
+    # the hash of a table's number and a key stands for both; each counts once for an image
+    size = BITS // 8 // TABLES
+    key = F.expr(f"array_distinct(transform(sequence(0, octet_length(tests) div {size} - 1), i -> xxhash64(i % {TABLES}, substring(tests, i * {size} + 1, {size}))))")
+    placed = images.where("octet_length(tests) > 0").select("rep", F.explode(key).alias("key"))
+    sizes = placed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    placed = placed.join(sizes, "key")
     placed = materialise(placed.join(placed.groupBy("rep").agg(F.sum("size").alias("meets")), "rep"), "media-buckets")
-    lead = placed.groupBy("table", "key").agg(F.max(F.struct("meets", (-F.col("rep")).alias("rep"))).alias("lead"))
-    pairs = placed.join(lead, ["table", "key"]).select("rep", (-F.col("lead.rep")).alias("other")).where("rep <> other")
+    lead = placed.groupBy("key").agg(F.max(F.struct("meets", (-F.col("rep")).alias("rep"))).alias("lead"))
+    pairs = placed.join(lead, "key").select("rep", (-F.col("lead.rep")).alias("other")).where("rep <> other")
     tried = materialise(pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct(), "media-pairs")
     links = materialise(_links(tried, images, inliers), "media-links")
     classes = components(links)
 
     known = placed.where("size > 2").join(classes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
-    parts = known.groupBy("table", "key", "class").agg(F.count("*").alias("part"))
-    top = parts.groupBy("table", "key").agg(F.max(F.struct("part", "class")).alias("top"), F.count("*").alias("classes")).where("classes > 1")
-    known = known.join(top, ["table", "key"]).select("table", "key", "rep", "class", (F.col("class") == F.col("top.class")).alias("main"))
-    outside = known.where(~F.col("main")).select("table", "key", F.col("rep").alias("a"), F.col("class").alias("ac"))
-    others = known.select("table", "key", F.col("rep").alias("b"), F.col("class").alias("bc"), "main")
-    rest = outside.join(others, ["table", "key"]).where("ac <> bc and (main or a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    parts = known.groupBy("key", "class").agg(F.count("*").alias("part"))
+    top = parts.groupBy("key").agg(F.max(F.struct("part", "class")).alias("top"), F.count("*").alias("classes")).where("classes > 1")
+    known = known.join(top, "key").select("key", "rep", "class", (F.col("class") == F.col("top.class")).alias("main"))
+    outside = known.where(~F.col("main")).select("key", F.col("rep").alias("a"), F.col("class").alias("ac"))
+    others = known.select("key", F.col("rep").alias("b"), F.col("class").alias("bc"), "main")
+    rest = outside.join(others, "key").where("ac <> bc and (main or a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = materialise(links.unionByName(_links(rest.join(tried, ["a", "b"], "left_anti"), images, inliers)), "media-all-links")
     classes = components(links)
 
-    ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    member = copies.join(classes.withColumnRenamed("node", "rep"), "rep", "left").join(ends, "rep", "left")
-    member = member.select("md", F.coalesce("class", "rep").alias("class"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    member = copies.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("md", F.coalesce("class", "rep").alias("class"), "n_copies")
     found, own = every.join(member, "md", "left"), F.col("media_id").isNull() | F.col("class").isNull()
     return found.select(
         "media_id",
         F.when(own, F.col("media_id")).otherwise(F.col("class")).alias("class_id"),
         F.when(own, F.lit(1)).otherwise(F.col("n_copies")).cast("long").alias("n_copies"),
-        F.when(own, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"),
     )
 
 
-EDGE, WAVES = 64, 64
+CELLS, CELL, PLANES = 4, 24, 16
+
+
+def _planes(width: int) -> np.ndarray:
+    """Fixed random directions, ``PLANES`` for each cell of a picture."""
+    return np.random.default_rng(7).normal(size=(width, CELLS * CELLS * PLANES)).astype(np.float32)
 
 
-def _basis() -> np.ndarray:
-    """Fixed smooth noise, one picture for each number of a vector."""
-    rng = np.random.default_rng(7)
-    raw = rng.normal(size=(WAVES, EDGE, EDGE)).astype(np.float32)
-    return np.stack([_box(_box(r, 1), 1) for r in raw]).reshape(WAVES, -1)
+def picture(vector: np.ndarray, planes: np.ndarray) -> np.ndarray:
+    """A collage: each cell has a texture of its own for the side of its planes that the vector is on. Vectors that are
+    nearly equal share most cells, as an edited copy shares most of an image; others share none."""
+    sides = (vector @ planes > 0).reshape(CELLS * CELLS, PLANES)
+    code = sides @ (1 << np.arange(PLANES, dtype=np.uint64)) + (np.arange(CELLS * CELLS, dtype=np.uint64) << np.uint64(PLANES))
+    noise = mix(mix(code)[:, None] + np.arange(CELL * CELL, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)
+    whole = noise.reshape(CELLS, CELLS, CELL, CELL).transpose(0, 2, 1, 3).reshape(CELLS * CELL, CELLS * CELL).astype(np.float32)
+    smooth = _box(_box(whole, 1), 1)
+    return 128 + 45 * (smooth - smooth.mean()) / (smooth.std() + 1e-9)
 
 
 def rendered(vectors: DataFrame, ident: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """``media_id, content``: pictures made from vectors, since the tables have none. Vectors that are nearly equal
-    give pictures that are; a null vector, or one with a null, gives a null."""
+    """``media_id, content``: pictures made from vectors, since the tables have none. A null vector, or one with a null,
+    gives a null."""
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        basis = _basis()
+        planes: dict[int, np.ndarray] = {}
         for batch in batches:
             out = []
             for v in batch.column(1):
@@ -226,9 +237,9 @@ def rendered(vectors: DataFrame, ident: str = "vec_id", column: str = "embedding
                 if not v or None in v:
                     out.append(None)
                     continue
-                v = np.resize(np.array(v, np.float32), WAVES)
-                a = (v / (np.linalg.norm(v) + 1e-9)) @ basis
-                out.append(pgm(128 + 50 * a.reshape(EDGE, EDGE) / (a.std() + 1e-9)))
+                if len(v) not in planes:
+                    planes[len(v)] = _planes(len(v))
+                out.append(pgm(picture(np.array(v, np.float32), planes[len(v)])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["media_id", "content"])
 
     return vectors.select(F.col(ident).cast("long").alias("media_id"), F.col(column).alias("v")).mapInArrow(draw, "media_id long, content binary")
