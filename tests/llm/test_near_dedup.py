@@ -74,7 +74,7 @@ def corpus(seed=3):
     return docs
 
 
-@pytest.mark.parametrize("pairwise", [64, 2])
+@pytest.mark.parametrize("pairwise", [nd.PAIRWISE, 2])
 def test_classes_are_those_of_all_pairs(spark, monkeypatch, pairwise):
     monkeypatch.setattr(nd, "PAIRWISE", pairwise)  # 2: all buckets of three or more go by rare shingles
     docs = corpus()

@@ -36,7 +36,7 @@ from .storage import forget, materialise
 
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 25, 5
 #: Buckets up to this size are compared pair by pair; larger ones by rare shingles.
-PAIRWISE = 64
+PAIRWISE = 256
 _U53 = 1.0 / (1 << 53)
 
 
