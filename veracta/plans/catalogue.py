@@ -458,12 +458,12 @@ def batch_five(spark, sf_dir):
 
 @query(
     """WITH f AS (SELECT l_partkey, regr_slope(l_extendedprice, l_quantity) AS a, regr_intercept(l_extendedprice, l_quantity) AS b, count(*) AS points, quantile_cont(l_extendedprice, 0.2) AS p20, median(l_quantity) AS med FROM lineitem GROUP BY l_partkey)
-SELECT f.l_partkey, points, round(any_value(a), 2) AS slope, round(any_value(b), 2) AS intercept, CAST(trunc(any_value(p20)) AS INT) AS p20, any_value(med) AS median_q, round(CASE WHEN points >= 3 THEN coalesce(median(abs(a * l_quantity + b - l_extendedprice)), 0) ELSE 0 END, 2) AS residual FROM f JOIN lineitem USING (l_partkey) GROUP BY f.l_partkey, points"""
+SELECT f.l_partkey, points, round(any_value(a), 2) AS slope, round(any_value(b), 2) AS intercept, CAST(trunc(any_value(p20)) AS INT) AS p20, any_value(med) AS median_q, round(CASE WHEN points >= 3 THEN coalesce(median(abs(a * l_quantity + b - l_extendedprice)), 0) ELSE 0 END, 4) AS residual FROM f JOIN lineitem USING (l_partkey) GROUP BY f.l_partkey, points"""
 )
 def ols_interpolate(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("doc_id"), F.col("l_extendedprice").alias("y"), F.col("l_quantity").alias("rel_y"), F.col("l_extendedprice").alias("x"), F.col("l_quantity").alias("h"))
     out = layout.fit(rows)
-    return out.select(F.col("doc_id").alias("l_partkey"), "points", F.round("slope", 2).alias("slope"), F.round("intercept", 2).alias("intercept"), F.col("left").alias("p20"), F.col("median_h").alias("median_q"), F.round("residual", 2).alias("residual"))
+    return out.select(F.col("doc_id").alias("l_partkey"), "points", F.round("slope", 2).alias("slope"), F.round("intercept", 2).alias("intercept"), F.col("left").alias("p20"), F.col("median_h").alias("median_q"), F.round("residual", 4).alias("residual"))
 
 
 @query(
