@@ -88,6 +88,18 @@ def test_classes_are_those_of_all_pairs(spark, monkeypatch, pairwise):
     assert {r.doc_id for r in kept} == {c for c, _ in want.values()}
 
 
+def test_a_line_repeated_in_one_copy_only(spark):
+    rng = random.Random(8)
+    docs = []
+    for k in range(20):
+        base = [f"w{rng.randrange(10**9)}" for _ in range(120)]
+        docs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base + base[-10:] * 60))]  # plain 0.97, probability Jaccard far below
+    a, b = shingle_set(docs[0][1]), shingle_set(docs[1][1])
+    assert len(a.keys() & b.keys()) / len(a.keys() | b.keys()) > 0.95 and weighted(a, b) < 0.3
+    got = nd.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {i: i // 2 * 2 for i, _ in docs}
+
+
 def test_odd_rows(spark):
     got = Counter((r.doc_id, r.class_id, r.n_copies) for r in nd.near_duplicates(odd(spark)).collect())
     assert got[(1, 1, 1)] == got[(2, 2, 1)] == got[(3, 3, 1)] == 1  # texts without words are alone

@@ -7,8 +7,8 @@ keeps its earliest arrival's shingle. Two registers agree with the probability
 Jaccard of the two sets. Arrivals later than the latest register change
 nothing, so a shingle stops early.
 
-Exact copies share one representative first. Its signature is cut into bands,
-and each band's bucket is compared with one leader, the member that meets most
+Exact copies share one representative first. Its signature is cut into bands
+(with repeated shingles, that of the bare set too, for plain Jaccard), and each band's bucket is compared with one leader, the member that meets most
 others; that costs one row for each member, not one for each pair. What is
 left are buckets whose members did not all come into one class: in small ones
 the members outside the largest class are compared with all members of other
@@ -84,16 +84,35 @@ def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int,
     return kept.reshape(n, registers)
 
 
+def _banded(sig: np.ndarray) -> np.ndarray:
+    """One hash for each band of signatures cut into bands."""
+    band = np.zeros(sig.shape[:2], np.uint64)
+    for j in range(sig.shape[2]):
+        band = tb.mix(band * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, j] + np.uint64(j))
+    return band
+
+
 def _describe(n_words: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, texts in tb.slices(batch.column(1)):
                 doc, found, weight, one, two = shingles(texts, n_words)
                 sig = signatures(doc, found, weight, hi - lo, bands * rows).reshape(-1, bands, rows)
-                band = np.zeros((hi - lo, bands), np.uint64)
-                for j in range(rows):
-                    band = tb.mix(band * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, j] + np.uint64(j))
+                band = _banded(sig)
                 first = np.searchsorted(doc, np.arange(hi - lo + 1))
+                # a text with repeated shingles also has the bands of its bare set, in the same tables
+                again = np.zeros(hi - lo, bool)
+                again[doc[weight > 1]] = True
+                own = again[doc]
+                rank = np.cumsum(again) - 1
+                bare = signatures(rank[doc[own]], found[own], np.ones(own.sum()), int(again.sum()), bands * rows).reshape(-1, bands, rows)
+                buckets = np.zeros((hi - lo, 2, bands), np.uint64)
+                filled = np.zeros((hi - lo, 2, bands), bool)
+                buckets[:, 0], filled[:, 0] = band, True
+                buckets[again, 1] = _banded(bare)
+                filled[:, 1] = again[:, None] & (buckets[:, 0] != buckets[:, 1])
+                flat = np.stack([np.ones(hi - lo, bool), again], axis=1).repeat(bands, axis=1).reshape(buckets.shape)
+                ends = np.append(0, np.cumsum(np.where(again, 2 * bands, bands))).astype(np.int32)
                 short = (found >> np.uint64(32)).astype("<u4")  # found is in order, so this is too
                 sets, counts = [], []
                 for a, b in zip(first[:-1], first[1:], strict=True):
@@ -107,7 +126,7 @@ def _describe(n_words: int, bands: int, rows: int):
                         pa.array(one.view(np.int64)),
                         pa.array(two.view(np.int64)),
                         pa.array(np.diff(first)),
-                        pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * bands), pa.array(band.view(np.int64).ravel())),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(buckets[flat].view(np.int64), mask=~filled[flat])),
                         pa.array(sets, pa.binary()),
                         pa.array(counts, pa.binary()),
                     ],
@@ -201,6 +220,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n_words: int
     chosen = slim.join(copies.select("k1", "k2", F.col("rep").alias("doc_id")), ["k1", "k2", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
 
     placed = chosen.select(F.col("doc_id").alias("rep"), F.col("n_set").alias("n"), "heavy", F.posexplode("bands").alias("band", "bucket"))
+    placed = placed.where("bucket is not null").withColumn("band", F.col("band") % bands)
     sizes = placed.groupBy("band", "bucket").agg(F.count("*").alias("size")).where("size > 1")
     placed = placed.join(sizes, ["band", "bucket"])
     placed = buckets = materialise(placed, "buckets")
