@@ -88,6 +88,30 @@ def test_classes_are_those_of_all_pairs(spark, monkeypatch, pairwise):
     assert {r.doc_id for r in kept} == {c for c, _ in want.values()}
 
 
+def test_prefixes_lose_no_pair_with_repeated_shingles(spark):
+    rng = np.random.default_rng(4)
+    shared, sets = np.arange(1, 41), []
+    for k in range(60):
+        own = np.arange(1000 * (k + 1), 1000 * (k + 1) + rng.integers(5, 40))
+        some = shared if k % 3 else shared[:20]
+        members = np.concatenate([some, own])
+        heavy = np.concatenate([np.full(len(some), 1 if k % 5 == 0 else 10) + rng.integers(0, 2, len(some)) * (k % 2), np.ones(len(own), int)])
+        sets.append((members, heavy))
+    sets += [(np.concatenate([shared[:20], np.arange(a, a + 20)]), np.repeat([10, 1], 20)) for a in (90000, 91000)]  # plain 0.33, probability Jaccard 0.83
+    near, by_weight = set(), 0
+    for a, (m, x) in enumerate(sets):
+        for b in range(a):
+            plain, share = nd.similarity(sets[b][0], sets[b][1], m, x)
+            if max(plain, share) >= 0.8:
+                near.add((b, a))
+                by_weight += plain < 0.8
+    assert (60, 61) in near and by_weight > 50
+    rows = [(k, bytearray(m.astype("<u4").tobytes()), bytearray(x.astype("<u4").tobytes() if (x > 1).any() else b"")) for k, (m, x) in enumerate(sets)]
+    table = spark.createDataFrame(rows, "rep long, members binary, weights binary")
+    members = spark.createDataFrame([(k, k, True) for k in range(len(sets))], "rep long, class long, outside boolean")
+    assert near <= {(r.a, r.b) for r in nd._by_prefix(members, table, 0.8).collect()}
+
+
 def test_a_line_repeated_in_one_copy_only(spark):
     rng = random.Random(8)
     docs = []

@@ -13,7 +13,7 @@ others; that costs one row for each member, not one for each pair. What is
 left are buckets whose members did not all come into one class: in small ones
 the members outside the largest class are compared with all members of other
 classes, in large ones with those that prefix and position filters over rare
-shingles can't rule out (for plain Jaccard, without loss). A pair counts as a link if its exact similarity is high enough.
+shingles can't rule out (without loss, for either Jaccard). A pair counts as a link if its exact similarity is high enough.
 
 Nulls and edge cases: a text that is null or has no word is in a class of its
 own. A text of one to four words is one shingle. Rows with a
@@ -178,8 +178,11 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(batch.num_rows):
             own = np.frombuffer(batch.column("members")[k].as_buffer(), "<u4").astype(np.int64)
+            weight = np.frombuffer(batch.column("weights")[k].as_buffer(), "<u4").astype(np.int64)
+            weight = weight if len(weight) else np.ones(len(own), np.int64)
             rest = [pa.array(np.full(len(own), batch.column(c)[k].as_py(), kind)) for c, kind in (("rep", np.int64), ("class", np.int64), ("outside", bool))]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(np.full(len(own), len(own))), pa.array(own)], names=["rep", "class", "outside", "n", "token"])
+            cols = [*rest, pa.array(np.full(len(own), len(own))), pa.array(np.full(len(own), weight.sum())), pa.array(own), pa.array(weight)]
+            yield pa.RecordBatch.from_arrays(cols, names=["rep", "class", "outside", "n", "mass", "token", "weight"])
 
 
 def _by_prefix(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -188,16 +191,26 @@ def _by_prefix(members: DataFrame, sets: DataFrame, threshold: float) -> DataFra
     With each set's shingles from rare to frequent, two similar sets share one among the first few, and it stands so
     early that enough can follow: prefix and position filters, which lose no pair. A text's own changes are its rarest
     shingles, so one that is far from the rest of its group meets hardly any of it.
+
+    Probability Jaccard is at most what two sets' weights, as shares of their sums, have in common. So if it reaches
+    the threshold, their first common shingle and those after it hold that share of either set's weight. This is
+    asked of pairs with repeated shingles; of two sets without them it says the same as the prefixes.
     """
-    every = sets.join(members, "rep").select("rep", "class", "outside", "members").mapInArrow(_tokens, "rep long, class long, outside boolean, n long, token long")
+    kinds = "rep long, class long, outside boolean, n long, mass long, token long, weight long"
+    every = sets.join(members, "rep").select("rep", "class", "outside", "members", "weights").mapInArrow(_tokens, kinds)
     often = every.groupBy("token").agg(F.count("*").alias("df"))
-    place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "token"))
-    first = every.join(often, "token").withColumn("at", place).where(F.col("at") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1)
-    first = materialise(first.select("rep", "class", "outside", "n", "token", "at"), "prefixes")
-    one, two = (first.select("token", *(F.col(c).alias(f"{p}{c}") for c in ("rep", "class", "outside", "n", "at"))) for p in "ab")
+    order = Window.partitionBy("rep").orderBy("df", "token")
+    first = every.join(often, "token").withColumns({"at": F.row_number().over(order), "upto": F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    early = F.col("at") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
+    heavy = F.col("mass") - F.col("upto") + F.col("weight") >= F.lit(threshold - 1e-9) * F.col("mass")
+    first = first.withColumns({"early": early, "heavy": heavy, "repeats": F.col("mass") > F.col("n")}).where("early or heavy")
+    names = ("rep", "class", "outside", "n", "at", "early", "heavy", "repeats")
+    first = materialise(first.select("token", *names), "prefixes")
+    one, two = (first.select("token", *(F.col(c).alias(f"{p}{c}") for c in names)) for p in "ab")
     follows = 1 + F.least(F.col("an") - F.col("aat"), F.col("bn") - F.col("bat"))
     enough = follows >= F.lit(threshold / (1 + threshold)) * (F.col("an") + F.col("bn")) - 1e-9
-    met = one.where("aoutside").join(two, (one["token"] == two["token"]) & (F.col("aclass") != F.col("bclass")) & enough)
+    can = (F.col("aearly") & F.col("bearly") & enough) | ((F.col("arepeats") | F.col("brepeats")) & F.col("aheavy") & F.col("bheavy"))
+    met = one.where("aoutside").join(two, (one["token"] == two["token"]) & (F.col("aclass") != F.col("bclass")) & can)
     return met.select(F.least("arep", "brep").alias("a"), F.greatest("arep", "brep").alias("b"))
 
 
