@@ -68,5 +68,16 @@ def test_scores_are_those_of_the_plain_iteration(spark):
     assert got["b.net"][2] == "block" and got["d.net"][2] == "allow"
 
 
+def test_verdicts_of_reached_hosts_do_not_depend_on_the_size(spark):
+    """A host that distrust reaches through its parent stays blocked beside a million blocked pages elsewhere."""
+    own = ["http://s.p.com/de/1", "http://p.com/"] + [f"http://t{i}.p.com/en" for i in range(100)]
+    few = spark.createDataFrame([(i, u, None) for i, u in enumerate(own)], "page_id long, url string, html string")
+    many = few.union(spark.range(1000, 1_001_000).selectExpr("id", "'http://big.com/de/' || id", "cast(null as string)"))
+    for pages in (few, many):
+        got = {r.host: r for r in U.judged(pages).where("page_id < 1000").collect()}
+        assert {got[h].verdict for h in got} == {"block"} and len(got) == 102
+    assert 0 < got["t3.p.com"].distrust < 1e-8
+
+
 def test_empty_tables(spark):
     assert U.judged(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []

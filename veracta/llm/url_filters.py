@@ -100,6 +100,6 @@ def judged(pages: DataFrame, rules=RULES, ratio: float = RATIO, damping: float =
     score = trust.select("host", F.col("score").alias("trust"), F.lit(0.0).alias("distrust")).union(distrust.select("host", F.lit(0.0), F.col("score")))
     score = score.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
     out = rows.drop("html").join(score, "host", "left").na.fill(0.0, ["trust", "distrust"])
-    # a hundredth of a millionth apart counts as even, whatever order the sums were taken in
-    worse = F.col("distrust") > F.lit(ratio) * F.col("trust") + F.lit(1e-8)
+    # a billionth of the trust apart counts as even, whatever order the sums were taken in; scores shrink with the table
+    worse = (F.col("distrust") > 0) & (F.col("distrust") > F.lit(ratio * (1 + 1e-9)) * F.col("trust"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(worse, "block").otherwise("allow")).alias("verdict"), "trust", "distrust")
