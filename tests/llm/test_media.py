@@ -24,6 +24,23 @@ def test_an_edited_copy_agrees_and_a_stranger_does_not(edit):
         assert M.consensus(*own[(k + 1) % len(own)], *b) < M.INLIERS
 
 
+def large(seed, cells=4):
+    """A picture of several small ones side by side."""
+    some = images(cells * cells, seed)
+    return np.concatenate([np.concatenate(some[r * cells : (r + 1) * cells], axis=1) for r in range(cells)])
+
+
+@pytest.mark.parametrize("share", [2, 4, 16])
+def test_crops_of_larger_pictures_agree(share):
+    for seed in range(3):
+        a, other = large(seed), large(seed + 50)
+        h, w = a.shape[0] // (1 if share == 2 else int(share**0.5)), a.shape[1] // (2 if share == 2 else int(share**0.5))
+        top, left = (a.shape[0] - h) // 3, (a.shape[1] - w) // 3
+        crop = M.describe(np.clip(a[top : top + h, left : left + w] * 1.1 + 3, 0, 255))
+        assert M.consensus(*crop, *M.describe(a)) >= M.INLIERS
+        assert M.consensus(*crop, *M.describe(other)) < M.INLIERS
+
+
 def test_classes(spark):
     rows = []
     for k, a in enumerate(images()):

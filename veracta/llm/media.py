@@ -32,7 +32,8 @@ from .graph import components
 from .storage import materialise
 from .textbatch import mix
 
-SCALES, CORNERS, BITS, KEYS, TABLES = (1.0, 1.5, 2.25), (20, 10, 4), 256, 8, 4
+#: ``CORNERS`` are for each cell of at most ``GRID`` by ``GRID`` pixels.
+SCALES, CORNERS, GRID, BITS, KEYS, TABLES = (1.0, 1.5, 2.25), (20, 10, 4), 96, 256, 8, 4
 MARGIN, NEAR_BITS, INLIERS, REACH = 8, 64, 6, 3.0
 _rng = np.random.default_rng(20240)
 _PATTERN = np.clip(_rng.normal(0, 3.2, (BITS, 4)), -6.5, 6.5)
@@ -95,7 +96,11 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         y, x = np.nonzero(peak)
         if not len(y):
             continue
-        order = np.lexsort((x, y, -core[y, x]))[:most]
+        across = -(-image.shape[1] // GRID)
+        cell = (((y + MARGIN) * scale).astype(int) * -(-image.shape[0] // GRID) // image.shape[0]) * across + ((x + MARGIN) * scale).astype(int) * across // image.shape[1]
+        order = np.lexsort((x, y, -core[y, x], cell))
+        first = np.searchsorted(cell[order], cell[order])
+        order = order[np.arange(len(order)) - first < most]
         y, x = y[order] + MARGIN, x[order] + MARGIN
         patch = a[y[:, None, None] + _YY, x[:, None, None] + _XX] * _DISC
         angle = np.arctan2((patch * _YY).sum((1, 2)), (patch * _XX).sum((1, 2)))
@@ -120,20 +125,26 @@ def consensus(a: np.ndarray, da: np.ndarray, b: np.ndarray, db: np.ndarray) -> i
     """The most corners of ``a`` that one similarity transform takes to their matches in ``b``."""
     if not len(a) or not len(b):
         return 0
-    away = np.bitwise_count(da[:, None, :] ^ db[None, :, :]).sum(-1)
-    j = away.argmin(1)
-    i = np.flatnonzero(away[np.arange(len(a)), j] <= NEAR_BITS)
+    near, j = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+    step = max(1, (1 << 20) // len(b))  # a few tens of MB at once, however many corners there are
+    for lo in range(0, len(a), step):
+        away = np.bitwise_count(da[lo : lo + step, None, :] ^ db[None, :, :]).sum(-1)
+        j[lo : lo + step], near[lo : lo + step] = away.argmin(1), away.min(1)
+    i = np.flatnonzero(near <= NEAR_BITS)
     if len(i) < INLIERS:
         return 0
     p, q = a[i], b[j[i]]
     size, turn = q[:, 2] / p[:, 2], q[:, 3] - p[:, 3]
     c, s = size * np.cos(turn), size * np.sin(turn)
     tx, ty = q[:, 0] - (c * p[:, 0] - s * p[:, 1]), q[:, 1] - (s * p[:, 0] + c * p[:, 1])
-    # each match's transform, tried on every other match
-    x = c[:, None] * p[None, :, 0] - s[:, None] * p[None, :, 1] + tx[:, None]
-    y = s[:, None] * p[None, :, 0] + c[:, None] * p[None, :, 1] + ty[:, None]
-    fits = np.hypot(x - q[None, :, 0], y - q[None, :, 1]) <= REACH
-    return int(fits.sum(1).max())
+    most = 0
+    for lo in range(0, len(i), step):  # each match's transform, tried on every other match
+        k = slice(lo, lo + step)
+        x = c[k, None] * p[None, :, 0] - s[k, None] * p[None, :, 1] + tx[k, None]
+        y = s[k, None] * p[None, :, 0] + c[k, None] * p[None, :, 1] + ty[k, None]
+        fits = np.hypot(x - q[None, :, 0], y - q[None, :, 1]) <= REACH
+        most = max(most, int(fits.sum(1).max()))
+    return most
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
