@@ -41,6 +41,21 @@ def test_crops_of_larger_pictures_agree(share):
         assert M.consensus(*crop, *M.describe(other)) < M.INLIERS
 
 
+def test_candidates_are_those_of_all_pairs(spark):
+    """Noisy and resized copies that the verification takes are found, as comparing every pair finds them."""
+    rng, own = np.random.default_rng(9), images(30, 21)
+    made = [(k, a) for k, a in enumerate(own)]
+    made += [(100 + k, np.clip(a + rng.normal(0, 14, a.shape), 0, 255)) for k, a in enumerate(own)]
+    made += [(200 + k, M._shrunk(np.clip(a + rng.normal(0, 6, a.shape), 0, 255), 1.25)) for k, a in enumerate(own)]
+    content = {i: M.pgm(a) for i, a in made}
+    described = {i: M.describe(M.decode(c)) for i, c in content.items()}
+    links = [(i, k) for i in described for k in described if i < k and M.consensus(*described[i], *described[k]) >= M.INLIERS]
+    assert len(links) > 30 and sum(k >= 200 for _, k in links) > 3 and all(i % 100 == k % 100 for i, k in links)
+    got = {r.media_id: r.class_id for r in M.media_copies(spark.createDataFrame(list(content.items()), "media_id long, content binary")).collect()}
+    assert [(i, k) for i, k in links if got[i] != got[k]] == []
+    assert all(c % 100 == i % 100 for i, c in got.items())
+
+
 def test_classes(spark):
     rows = []
     for k, a in enumerate(images()):

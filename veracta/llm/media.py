@@ -2,9 +2,12 @@
 
 An image is a binary PGM (8 bit). Corners are found at several scales; each
 gets 256 binary intensity tests whose pattern is turned by the patch's own
-orientation. Descriptors are cut into four keys of 64 bits: of an image's
+orientation. Ten keys of 24 sampled bits are taken of each: of an image's
 descriptors some agree with a copy's in a whole key, which the Hamming tables
-join on (keys of 32 bits met half of all strangers, as near tests say the same). The matches of
+join on. Near tests say the same, so strangers meet in such keys too: a meeting
+counts only if the two whole descriptors are as near as a match must be. The
+corners of an image are the strongest of each cell of a grid, so their number
+grows with the area and a crop finds its own among them. The matches of
 two images count if one similarity transform (from one match's places, scales
 and orientations) brings enough others into place.
 
@@ -29,15 +32,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .storage import materialise
+from .storage import forget, materialise
 from .textbatch import mix
 
 #: ``CORNERS`` are for each cell of at most ``GRID`` by ``GRID`` pixels.
-SCALES, CORNERS, GRID, BITS, KEYS, TABLES = (1.0, 1.5, 2.25), (20, 10, 4), 96, 256, 8, 4
-MARGIN, NEAR_BITS, INLIERS, REACH = 8, 64, 6, 3.0
+SCALES, CORNERS, GRID, BITS, KEYS = (1.0, 1.5, 2.25), (20, 10, 4), 96, 256, 8
+MARGIN, NEAR_BITS, INLIERS, REACH, TURN, SIZE = 8, 64, 6, 3.0, 0.5, 1.6
 _rng = np.random.default_rng(20240)
 _PATTERN = np.clip(_rng.normal(0, 3.2, (BITS, 4)), -6.5, 6.5)
 _TURNS = 32
+#: The bits of each table's key.
+_SAMPLES = np.random.default_rng(1).permutation(BITS)[:240].reshape(10, 24)
 _HEAD = re.compile(rb"P5\s+(?:#[^\n]*\n\s*)*(\d+)\s+(\d+)\s+(\d+)\s")
 
 
@@ -143,6 +148,9 @@ def consensus(a: np.ndarray, da: np.ndarray, b: np.ndarray, db: np.ndarray) -> i
         x = c[k, None] * p[None, :, 0] - s[k, None] * p[None, :, 1] + tx[k, None]
         y = s[k, None] * p[None, :, 0] + c[k, None] * p[None, :, 1] + ty[k, None]
         fits = np.hypot(x - q[None, :, 0], y - q[None, :, 1]) <= REACH
+        # a corner that the transform takes to its match is also turned and resized by it
+        fits &= np.abs((turn[k, None] - turn[None, :] + np.pi) % (2 * np.pi) - np.pi) <= TURN
+        fits &= np.abs(np.log(size[k, None] / size[None, :])) <= np.log(SIZE)
         most = max(most, int(fits.sum(1).max()))
     return most
 
@@ -159,6 +167,24 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([some.column(0), *cols], names=["rep", "places", "tests"])
 
 
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each key of each descriptor, with the whole descriptor as four numbers."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            reps, tests = (batch.column(c).slice(lo, 256).to_pylist() for c in ("rep", "tests"))
+            keys = np.frombuffer(b"".join(tests), "<u4").reshape(-1, KEYS)
+            rep, whole = np.repeat(reps, [len(t) // (4 * KEYS) for t in tests]), np.ascontiguousarray(keys).view("<i8")
+            bits = np.unpackbits(np.ascontiguousarray(keys).view(np.uint8), axis=1).astype(np.int64)
+            for t, chosen in enumerate(_SAMPLES):
+                key = bits[:, chosen] @ (1 << np.arange(len(chosen))) + (t << len(chosen))
+                yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(key), *(pa.array(whole[:, k].copy()) for k in range(4))], names=["rep", "key", "d0", "d1", "d2", "d3"])
+
+
+def _near(left: str, right: str):
+    """Whether the descriptors of two rows, named with these prefixes, differ in few enough bits."""
+    return sum((F.bit_count(F.col(f"{left}d{k}").bitwiseXOR(F.col(f"{right}d{k}"))) for k in range(1, 4)), F.bit_count(F.col(f"{left}d0").bitwiseXOR(F.col(f"{right}d0")))) <= NEAR_BITS
+
+
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
@@ -184,26 +210,29 @@ def media_copies(media: DataFrame, inliers: int = INLIERS) -> DataFrame:
     chosen = rows.join(copies.select("md", F.col("rep").alias("media_id")), ["md", "media_id"], "left_semi").dropDuplicates(["media_id"])
     images = materialise(chosen.select("media_id", "content").mapInArrow(_described, "rep long, places binary, tests binary"), "images")
 
-    # the hash of a table's number and a key stands for both; each counts once for an image
-    size = BITS // 8 // TABLES
-    key = F.expr(f"array_distinct(transform(sequence(0, octet_length(tests) div {size} - 1), i -> xxhash64(i % {TABLES}, substring(tests, i * {size} + 1, {size}))))")
-    placed = images.where("octet_length(tests) > 0").select("rep", F.explode(key).alias("key"))
-    sizes = placed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    placed = placed.join(sizes, "key")
-    placed = materialise(placed.join(placed.groupBy("rep").agg(F.sum("size").alias("meets")), "rep"), "media-buckets")
-    lead = placed.groupBy("key").agg(F.max(F.struct("meets", (-F.col("rep")).alias("rep"))).alias("lead"))
-    pairs = placed.join(lead, "key").select("rep", (-F.col("lead.rep")).alias("other")).where("rep <> other")
+    # a key that two images have; meetings count if the whole descriptors are near
+    whole = ["d0", "d1", "d2", "d3"]
+    placed = images.select("rep", "tests").mapInArrow(_keyed, "rep long, key long, d0 long, d1 long, d2 long, d3 long")
+    placed = materialise(placed, "media-keys")
+    sizes = placed.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("key", "size")
+    shared = placed.join(sizes, "key")
+    shared = materialise(shared.join(shared.groupBy("rep").agg(F.sum("size").alias("meets")), "rep"), "media-buckets")
+    forget(placed)
+    lead = shared.groupBy("key").agg(F.max(F.struct("meets", (-F.col("rep")).alias("rep"), *whole)).alias("lead"))
+    led = shared.join(lead, "key").select("*", *(F.col(f"lead.{d}").alias(f"l{d}") for d in whole), (-F.col("lead.rep")).alias("other"))
+    pairs = led.where((F.col("rep") != F.col("other")) & _near("", "l"))
     tried = materialise(pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct(), "media-pairs")
     links = materialise(_links(tried, images, inliers), "media-links")
     classes = components(links)
 
-    known = placed.where("size > 2").join(classes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
+    known = shared.join(classes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
     parts = known.groupBy("key", "class").agg(F.count("*").alias("part"))
     top = parts.groupBy("key").agg(F.max(F.struct("part", "class")).alias("top"), F.count("*").alias("classes")).where("classes > 1")
-    known = known.join(top, "key").select("key", "rep", "class", (F.col("class") == F.col("top.class")).alias("main"))
-    outside = known.where(~F.col("main")).select("key", F.col("rep").alias("a"), F.col("class").alias("ac"))
-    others = known.select("key", F.col("rep").alias("b"), F.col("class").alias("bc"), "main")
-    rest = outside.join(others, "key").where("ac <> bc and (main or a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    known = known.join(top, "key").select("key", "rep", "class", (F.col("class") == F.col("top.class")).alias("main"), *whole)
+    outside = known.where(~F.col("main")).select("key", F.col("rep").alias("a"), F.col("class").alias("ac"), *(F.col(d).alias(f"a{d}") for d in whole))
+    others = known.select("key", F.col("rep").alias("b"), F.col("class").alias("bc"), "main", *(F.col(d).alias(f"b{d}") for d in whole))
+    rest = outside.join(others, "key").where(F.expr("ac <> bc and (main or a < b)") & _near("a", "b"))
+    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = materialise(links.unionByName(_links(rest.join(tried, ["a", "b"], "left_anti"), images, inliers)), "media-all-links")
     classes = components(links)
 
