@@ -1,10 +1,13 @@
 """The registered queries against the SQL that is registered with them, where the driver's tables are there."""
 
+import datetime as dt
 import math
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
+from veracta.functions import dates
 from veracta.plans import catalogue
 
 TABLES = Path("/root/testdata/sf0.001")
@@ -45,3 +48,19 @@ def test_query_is_its_sql(spark, duck, name):
 def test_every_query_without_sql_runs(spark, duck):
     for name in set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL):
         assert catalogue.QUERIES[name](spark, str(TABLES)).count() > 0, name
+
+
+@pytest.mark.parametrize("name", ["dates_in_text_all"])
+def test_whole_forms_are_their_sql(spark, duck, name):
+    test_query_is_its_sql(spark, duck, name)
+
+
+def test_dates_of_every_form_are_looked_for(spark, duck):
+    """Against a scan in Python, with years whose last two digits can be a day."""
+    days = [dt.date(y, m, d) for y in (1992, 1998, 2005, 2012, 2031) for m in (1, 2, 12) for d in (1, 9, 28, 31) if (m, d) != (2, 31)]
+    texts = [d.strftime(f) for d in days for f in ("%Y-%m-%d", "%Y/%m/%d", "%d/%m/%Y", "le %d.%m.%y")]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string").select("i", dates.dates_in_text(F.col("s")).alias("d")).collect()
+    for r in got:
+        assert r.d == [d for m in dates._NUMERIC.finditer(texts[r.i]) if (d := dates._in_digits(m))], texts[r.i]
+    n = duck.execute("select count(*) from orders").fetchone()[0]
+    assert catalogue.QUERIES["dates_in_text_all"](spark, str(TABLES)).count() == n

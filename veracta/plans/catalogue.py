@@ -400,6 +400,16 @@ def dates_in_text(spark, sf_dir):
     return _rendered(spark, sf_dir).where(F.col("o_orderkey") % 6 != 0).where(F.col("o_orderkey") % 6 != 3).select("o_orderkey", F.nullif(found, F.lit("")).alias("found"))
 
 
+_YEAR_FIRST = "strftime(try_strptime(CASE WHEN day(o_orderdate) > 30 THEN '19' ELSE '20' END || strftime(o_orderdate, '%d-%m-') || strftime(o_orderdate, '%y'), '%Y-%m-%d'), '%Y-%m-%d')"
+
+
+@query(f"SELECT o_orderkey, CASE WHEN o_orderkey % 6 IN (0, 3) THEN {_YEAR_FIRST} WHEN o_orderkey % 6 IN (1, 5) THEN strftime(o_orderdate, '%Y-%m-%d') WHEN o_orderkey % 6 = 2 THEN CASE WHEN year(o_orderdate) % 100 > 30 THEN '19' ELSE '20' END || strftime(o_orderdate, '%y-%m-%d') END AS found FROM orders")
+def dates_in_text_all(spark, sf_dir):
+    """``dates_in_text`` over every order: where a year comes first, its last two digits are read as a day."""
+    found = F.array_join(dates.dates_in_text(F.col("s")), ",")
+    return _rendered(spark, sf_dir).select("o_orderkey", F.nullif(found, F.lit("")).alias("found"))
+
+
 _NUMBERS = (("mil neuf cent quatre-vingt-onze", 1991), ("deux mille deux", 2002), ("quatre-vingt-dix", 90), ("soixante dix sept", 77), ("cent vingt", 120), ("l'an deux mille", 2000), ("trois chats", None), ("", None), ("premier", 1), ("quatre vingts", 80))
 
 
