@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veracta.functions import dates
+from veracta.operators import review
 from veracta.plans import catalogue
 
 TABLES = Path("/root/testdata/sf0.001")
@@ -50,7 +51,7 @@ def test_every_query_without_sql_runs(spark, duck):
         assert catalogue.QUERIES[name](spark, str(TABLES)).count() > 0, name
 
 
-@pytest.mark.parametrize("name", ["dates_in_text_all"])
+@pytest.mark.parametrize("name", ["dates_in_text_all", "dedupe_corrections_whole"])
 def test_whole_forms_are_their_sql(spark, duck, name):
     test_query_is_its_sql(spark, duck, name)
 
@@ -64,3 +65,17 @@ def test_dates_of_every_form_are_looked_for(spark, duck):
         assert r.d == [d for m in dates._NUMERIC.finditer(texts[r.i]) if (d := dates._in_digits(m))], texts[r.i]
     n = duck.execute("select count(*) from orders").fetchone()[0]
     assert catalogue.QUERIES["dates_in_text_all"](spark, str(TABLES)).count() == n
+
+
+def test_pages_have_every_word(spark, duck):
+    want = duck.execute(r"select sum(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''))) from benchmark").fetchone()[0]
+    page = catalogue._page(spark, str(TABLES))
+    assert page.select(F.sum(F.size("words"))).first()[0] == want
+    found = catalogue.QUERIES["grounding_audit"](spark, str(TABLES)).collect()
+    assert len(found) == page.count() and {r.status for r in found} >= {"verified", "missing_from_response", "dropped_sanity", "dropped_contradicted"}
+
+
+def test_corrections_that_differ_late_are_two(spark):
+    rows = spark.createDataFrame([(1, 1, "the same first words a", "the same first words b"), (2, 1, "the same first words a", "the same first words c")], "doc_id int, turn int, value string, new string")
+    got = review.corrections_quality(catalogue._corrections(rows)).first()
+    assert (got.reviewed, got.wrong, got.docs_touched) == (2, 2, 2)

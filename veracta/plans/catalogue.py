@@ -239,6 +239,24 @@ def dedupe_corrections(spark, sf_dir):
     return review.corrections_quality(log)
 
 
+_WHITE = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
+_WRONG = f"{_WHITE.format('m')} <> {_WHITE.format('c')}"
+
+
+@query(
+    _EDITS.replace("CAST(turn AS VARCHAR) AS field", "CAST(turn % 3 AS VARCHAR) AS field")
+    + f""", k AS (SELECT field, coalesce(model_value, 'None') AS m, coalesce(corrected_value, 'None') AS c, min(struct_pack(d := doc_id, o := turn)) AS place FROM e GROUP BY ALL)
+SELECT count(*) AS reviewed, count(*) FILTER ({_WRONG}) AS wrong, round(100 * CAST(count(*) FILTER ({_WRONG}) AS DOUBLE) / count(*), 1) AS error_pct, count(DISTINCT place.d) AS docs_touched FROM k"""
+)
+def dedupe_corrections_whole(spark, sf_dir):
+    """``dedupe_corrections`` over whole values, as the log has them."""
+    return review.corrections_quality(_corrections(_edits(spark, sf_dir)))
+
+
+def _corrections(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", F.col("turn").alias("ord"), (F.col("turn") % 3).cast("string").alias("field"), F.col("value").alias("model_value"), F.col("new").alias("corrected_value"))
+
+
 @query("SELECT doc_id, field, n_messages, answer FROM (SELECT conv_id AS doc_id, CAST(turn AS VARCHAR) AS field, 2 AS n_messages, lead(text) OVER w AS answer, role, lead(role) OVER w AS next FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next = 'assistant' AND coalesce(answer, '') <> ''")
 def sft_export(spark, sf_dir):
     """Samples as JSON, read back: what a training job would get of them."""
@@ -489,18 +507,23 @@ def range_join(spark, sf_dir):
     return grounding.words_in_boxes(words, boxes)
 
 
+#: Words of a line, and a template's labels. Fixed values.
+_PER_LINE = 12
+_LABELS = ("onesen erblest it", "in thtion erhees", "miñra ñas ciónci", "the thin blees", "est in with")
+
+
 def _page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items as lines of pages, each word with a box."""
-    rows = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 20).alias("doc_id"), F.col("item_id").alias("line_id"), F.posexplode(F.slice(text.words(F.col("text")), 1, 12)).alias("i", "text"))
-    return layout.lines(rows.select("doc_id", "line_id", (F.col("i") * 60).alias("x"), (F.col("line_id") * 3).cast("int").alias("y"), F.lit(50).alias("w"), F.lit(12).alias("h"), "text"))
+    """Each benchmark item as a page: all its words, twelve to a line, each with a box."""
+    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.posexplode(text.words(F.col("text"))).alias("i", "text"))
+    line = F.floor(F.col("i") / _PER_LINE).cast("int")
+    return layout.lines(rows.select("doc_id", line.alias("line_id"), (F.col("i") % _PER_LINE * 60).alias("x"), (line * 20 + 5).alias("y"), F.lit(50).alias("w"), F.lit(12).alias("h"), "text"))
 
 
 @query()
 def theta_labels(spark, sf_dir):
-    """Labels against lines: those lines whose span resembles one of five labels."""
-    page = _page(spark, sf_dir)
-    labels = page.where("line_id < 5").select(F.array_join(F.transform(F.slice("words", 2, 3), lambda w: w["text"]), " ").alias("label"), F.col("line_id").cast("int").alias("label_ord"))
-    return layout.candidates(page, labels, long=60.0, short=70.0).withColumn("score", F.round("score", 6))
+    """Labels against lines: those lines with a span that resembles one of a template's labels."""
+    labels = spark.createDataFrame([(v, i) for i, v in enumerate(_LABELS)], "label string, label_ord int")
+    return layout.candidates(_page(spark, sf_dir), labels, long=60.0, short=70.0).withColumn("score", F.round("score", 6))
 
 
 @query()
@@ -543,11 +566,12 @@ def grounding_audit(spark, sf_dir):
     page = _page(spark, sf_dir)
     words = page.select("doc_id", F.explode("words").alias("w")).select("doc_id", "w.*")
     regions = page.select("doc_id", F.col("line_id").cast("string").alias("region"), F.col("line_id").alias("ord"))
-    k = F.col("line_id") % 5
+    k = (F.col("doc_id") + F.col("line_id")) % 5
     text_ = F.when(k == 1, F.left("text", F.lit(20))).when(k == 2, F.lit("zzzz qqqq xxxx")).otherwise(F.col("text"))
-    box = F.when(k == 4, F.array(*(F.lit(0.0),) * 4)).otherwise(F.array(F.col("y") / 1000.0 * 1000 - 1, F.lit(0.0), F.col("y") / 1000.0 * 1000 + 14, F.lit(900.0)))
-    claims = page.where(k != 3).select("doc_id", F.col("line_id").cast("string").alias("region"), box.alias("box"), text_.alias("text"))
-    pages = page.select("doc_id").distinct().select("doc_id", F.lit(1000).alias("page_w"), F.lit(1000).alias("page_h"))
+    box = F.when(k == 4, F.array(*(F.lit(0.0),) * 4)).otherwise(F.array((F.col("y") - 1) * 1000.0 / F.col("page_h"), F.lit(0.0), (F.col("y") + 14) * 1000.0 / F.col("page_h"), F.lit(900.0)))
+    # a page is as high as its lines need
+    pages = page.groupBy("doc_id").agg(F.lit(1000).alias("page_w"), F.greatest(F.lit(1000), F.max("y") + 40).alias("page_h"))
+    claims = page.join(pages, "doc_id").where(k != 3).select("doc_id", F.col("line_id").cast("string").alias("region"), box.alias("box"), text_.alias("text"))
     return grounding.audit(regions, claims, words, pages).select("doc_id", "region", "status", "score", "kept", "verified")
 
 
