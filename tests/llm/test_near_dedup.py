@@ -74,42 +74,70 @@ def corpus(seed=3):
     return docs
 
 
-@pytest.mark.parametrize("pairwise", [nd.PAIRWISE, 2])
-def test_classes_are_those_of_all_pairs(spark, monkeypatch, pairwise):
-    monkeypatch.setattr(nd, "PAIRWISE", pairwise)  # 2: all buckets of three or more go by rare shingles
+@pytest.mark.parametrize("block", [nd.BLOCK_TEXTS, 2])
+def test_classes_are_those_of_all_pairs(spark, block):
     docs = corpus()
-    got = nd.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    got = nd.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), block=block).collect()
     want = brute(docs)
     assert len(got) == len(docs)
     assert {r.doc_id: r.class_id for r in got} == {i: c for i, (c, _) in want.items()}
-    if pairwise == 2:
+    if block == 2:
         return
     kept = nd.deduplicate(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {r.doc_id for r in kept} == {c for c, _ in want.values()}
 
 
-def test_prefixes_lose_no_pair_with_repeated_shingles(spark):
-    rng = np.random.default_rng(4)
+def groups(n, seed=4):
+    """Sets of which many share most shingles, some of them heavy, and pairs near by weight only."""
+    rng = np.random.default_rng(seed)
     shared, sets = np.arange(1, 41), []
-    for k in range(60):
+    for k in range(n):
         own = np.arange(1000 * (k + 1), 1000 * (k + 1) + rng.integers(5, 40))
         some = shared if k % 3 else shared[:20]
-        members = np.concatenate([some, own])
         heavy = np.concatenate([np.full(len(some), 1 if k % 5 == 0 else 10) + rng.integers(0, 2, len(some)) * (k % 2), np.ones(len(own), int)])
-        sets.append((members, heavy))
-    sets += [(np.concatenate([shared[:20], np.arange(a, a + 20)]), np.repeat([10, 1], 20)) for a in (90000, 91000)]  # plain 0.33, probability Jaccard 0.83
-    near, by_weight = set(), 0
+        sets.append((np.concatenate([some, own]), heavy))
+    top = 1000 * (n + 9)
+    sets += [(np.concatenate([shared[:20], np.arange(a, a + 20)]), np.repeat([10, 1], 20)) for a in (top, top + 1000)]  # plain 0.33, probability Jaccard 0.83
+    sets += [(np.append([5], np.arange(a, a + 3)), np.array([200, 1, 1, 1])) for a in (top + 2000, top + 3000)]  # plain 0.14, probability Jaccard 0.97
+    return [(m.astype(np.uint32), w.astype(float)) for m, w in sets]
+
+
+def test_blocks_join_what_any_similar_pair_joins(spark):
+    sets = groups(300)
+    links, by_weight = [], 0
     for a, (m, x) in enumerate(sets):
         for b in range(a):
             plain, share = nd.similarity(sets[b][0], sets[b][1], m, x)
+            assert share == pytest.approx(nd.shares(m, x, [sets[b]])[0])
             if max(plain, share) >= 0.8:
-                near.add((b, a))
+                links.append((b, a))
                 by_weight += plain < 0.8
-    assert (60, 61) in near and by_weight > 50
-    rows = [(k, bytearray(m.astype("<u4").tobytes()), bytearray(x.astype("<u4").tobytes() if (x > 1).any() else b"")) for k, (m, x) in enumerate(sets)]
+    assert (300, 301) in links and (302, 303) in links and by_weight > 300
+
+    def classes(found):
+        parent = list(range(len(sets)))
+
+        def root(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for a, b in found:
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+        return [root(i) for i in range(len(sets))]
+
+    everyone, members, weights = np.arange(len(sets)), [m for m, _ in sets], [w for _, w in sets]
+    got = nd.joining(everyone, everyone, everyone, everyone, members, weights, 0.8)
+    assert classes(got) == classes(links) and len(got) < len(sets) < len(links)
+
+    rows = [(k, bytearray(m.astype("<u4").tobytes()), bytearray(w.astype("<u4").tobytes() if (w > 1).any() else b"")) for k, (m, w) in enumerate(sets)]
     table = spark.createDataFrame(rows, "rep long, members binary, weights binary")
-    members = spark.createDataFrame([(k, k, True) for k in range(len(sets))], "rep long, class long, outside boolean")
-    assert near <= {(r.a, r.b) for r in nd._by_prefix(members, table, 0.8).collect()}
+    whole = classes(links)
+    big = max(set(whole), key=whole.count)
+    for start in (list(range(len(sets))), [big if c == big and k % 4 else k for k, c in enumerate(whole)]):  # nothing known; three quarters of a class known
+        seats = spark.createDataFrame([(10**6, k, start[k], len(sets[k][0])) for k in range(len(sets))], "leader long, rep long, class long, n long")
+        found = [(r.a, r.b) for r in nd._by_blocks(seats, table, 0.8, block=32).collect()]
+        assert classes(found + [(k, c) for k, c in enumerate(start) if c != k]) == whole
 
 
 def test_a_line_repeated_in_one_copy_only(spark):

@@ -8,16 +8,24 @@ Jaccard of the two sets. Arrivals later than the latest register change
 nothing, so a shingle stops early.
 
 Exact copies share one representative first. Its signature is cut into bands
-(with repeated shingles, that of the bare set too, for plain Jaccard), and each band's bucket is compared with one leader, the member that meets most
-others; that costs one row for each member, not one for each pair. What is
-left are buckets whose members did not all come into one class: in small ones
-the members outside the largest class are compared with all members of other
-classes, in large ones with those that prefix and position filters over rare
-shingles can't rule out (without loss, for either Jaccard). A pair counts as a link if its exact similarity is high enough.
+(with repeated shingles, that of the bare set too, for plain Jaccard), and
+each band's bucket gets a leader, the member that meets most others. First
+every member is compared with its leaders, which costs one row for each of
+them. Texts that share a bucket share its leader, so what may still be linked
+are a leader's members that did not come into one class. They are dealt out in
+blocks of bounded size: those outside the leader's largest class meet all
+members of other classes, a pair of blocks at a time and by exact similarity.
+A pair of blocks gives the links that join classes and no others, so a group
+of any size never stands as its pairs, nor in one task.
+
+A pair counts as a link if its plain or its probability Jaccard is high enough.
+Shingles are kept for texts that share a bucket only, and are taken from their
+texts once those are known.
 
 Nulls and edge cases: a text that is null or has no word is in a class of its
 own. A text of one to four words is one shingle. Rows with a
 null ``doc_id`` are returned with a null class. Repeated rows stay repeated.
+Different texts with one ``doc_id`` are in one class.
 Extra columns are ignored. An empty table gives an empty result.
 """
 
@@ -27,16 +35,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
 from .graph import components
-from .storage import forget, materialise
+from .storage import forget, materialise, only
 
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 25, 5
-#: Buckets up to this size are compared pair by pair; larger ones by rare shingles.
-PAIRWISE = 256
+#: What one side of a pair of blocks holds on average, at most: texts, and shingles of theirs.
+BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 1 << 19
+_WIDTH = 4096
 _U53 = 1.0 / (1 << 53)
 
 
@@ -85,53 +94,67 @@ def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int,
 
 
 def _banded(sig: np.ndarray) -> np.ndarray:
-    """One hash for each band of signatures cut into bands."""
-    band = np.zeros(sig.shape[:2], np.uint64)
+    """One hash for each band of signatures cut into bands; equal registers in different bands give different ones."""
+    band = np.broadcast_to(tb.mix(np.arange(1, sig.shape[1] + 1, dtype=np.uint64)), sig.shape[:2])
     for j in range(sig.shape[2]):
         band = tb.mix(band * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, j] + np.uint64(j))
     return band
 
 
 def _describe(n_words: int, bands: int, rows: int):
+    """``doc_id``, two hashes of the sequence of words, the set's size, whether it has repeats, and its buckets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, texts in tb.slices(batch.column(1)):
                 doc, found, weight, one, two = shingles(texts, n_words)
-                sig = signatures(doc, found, weight, hi - lo, bands * rows).reshape(-1, bands, rows)
-                band = _banded(sig)
-                first = np.searchsorted(doc, np.arange(hi - lo + 1))
+                n = hi - lo
+                buckets = np.zeros((n, 2, bands), np.uint64)
+                buckets[:, 0] = _banded(signatures(doc, found, weight, n, bands * rows).reshape(-1, bands, rows))
                 # a text with repeated shingles also has the bands of its bare set, in the same tables
-                again = np.zeros(hi - lo, bool)
+                again = np.zeros(n, bool)
                 again[doc[weight > 1]] = True
-                own = again[doc]
-                rank = np.cumsum(again) - 1
-                bare = signatures(rank[doc[own]], found[own], np.ones(own.sum()), int(again.sum()), bands * rows).reshape(-1, bands, rows)
-                buckets = np.zeros((hi - lo, 2, bands), np.uint64)
-                filled = np.zeros((hi - lo, 2, bands), bool)
-                buckets[:, 0], filled[:, 0] = band, True
-                buckets[again, 1] = _banded(bare)
+                own, rank = again[doc], np.cumsum(again) - 1
+                bare = signatures(rank[doc[own]], found[own], np.ones(own.sum()), int(again.sum()), bands * rows)
+                buckets[again, 1] = _banded(bare.reshape(-1, bands, rows))
+                filled = np.ones((n, 2, bands), bool)
                 filled[:, 1] = again[:, None] & (buckets[:, 0] != buckets[:, 1])
-                flat = np.stack([np.ones(hi - lo, bool), again], axis=1).repeat(bands, axis=1).reshape(buckets.shape)
-                ends = np.append(0, np.cumsum(np.where(again, 2 * bands, bands))).astype(np.int32)
+                ends = np.append(0, np.cumsum(filled.sum(axis=(1, 2)))).astype(np.int32)
+                cols = [
+                    batch.column(0).slice(lo, n),
+                    pa.array(one.view(np.int64)),
+                    pa.array(two.view(np.int64)),
+                    pa.array(np.bincount(doc, minlength=n)),
+                    pa.array(again),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(buckets[filled].view(np.int64))),
+                ]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "k1", "k2", "n", "heavy", "buckets"])
+
+    return run
+
+
+def _sets(n_words: int):
+    """Each text's shingles, sorted, as 32 bits of their hash, with how often they occur (empty: once each). A task
+    gives a repeated row once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = set()
+        for batch in batches:
+            for lo, hi, texts in tb.slices(batch.column(1)):
+                doc, found, weight, one, two = shingles(texts, n_words)
+                first = np.searchsorted(doc, np.arange(hi - lo + 1))
                 short = (found >> np.uint64(32)).astype("<u4")  # found is in order, so this is too
-                sets, counts = [], []
-                for a, b in zip(first[:-1], first[1:], strict=True):
-                    at = np.flatnonzero(np.append(True, short[a + 1 : b] != short[a : b - 1])) if b > a else np.zeros(0, np.int64)
-                    own = np.add.reduceat(weight[a:b], at) if len(at) else at  # two shingles in some billions share 32 bits
-                    sets.append(short[a:b][at].tobytes())
-                    counts.append(own.astype("<u4").tobytes() if (own > 1).any() else b"")
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(lo, hi - lo),
-                        pa.array(one.view(np.int64)),
-                        pa.array(two.view(np.int64)),
-                        pa.array(np.diff(first)),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(buckets[flat].view(np.int64), mask=~filled[flat])),
-                        pa.array(sets, pa.binary()),
-                        pa.array(counts, pa.binary()),
-                    ],
-                    names=["doc_id", "k1", "k2", "n_set", "bands", "members", "weights"],
-                )
+                out = []
+                for rep, x, y, a, b in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), one.view(np.int64).tolist(), two.view(np.int64).tolist(), first[:-1], first[1:], strict=True):
+                    if a == b or (rep, x, y) in given:
+                        continue
+                    given.add((rep, x, y))
+                    at = np.flatnonzero(np.append(True, short[a + 1 : b] != short[a : b - 1]))
+                    own = np.add.reduceat(weight[a:b], at)  # two shingles in some billions share 32 bits
+                    out.append((rep, x, y, short[a:b][at].tobytes(), own.astype("<u4").tobytes() if (own > 1).any() else b""))
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                cols = [pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays(cols, names=["rep", "k1", "k2", "members", "weights"])
 
     return run
 
@@ -174,118 +197,166 @@ def _links(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.select(*cols).mapInArrow(_verify, "a long, b long, similarity double").where(F.col("similarity") >= threshold).select("a", "b").distinct()
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(batch.num_rows):
-            own = np.frombuffer(batch.column("members")[k].as_buffer(), "<u4").astype(np.int64)
-            weight = np.frombuffer(batch.column("weights")[k].as_buffer(), "<u4").astype(np.int64)
-            weight = weight if len(weight) else np.ones(len(own), np.int64)
-            rest = [pa.array(np.full(len(own), batch.column(c)[k].as_py(), kind)) for c, kind in (("rep", np.int64), ("class", np.int64), ("outside", bool))]
-            cols = [*rest, pa.array(np.full(len(own), len(own))), pa.array(np.full(len(own), weight.sum())), pa.array(own), pa.array(weight)]
-            yield pa.RecordBatch.from_arrays(cols, names=["rep", "class", "outside", "n", "mass", "token", "weight"])
+def shares(a: np.ndarray, x: np.ndarray, others: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Probability Jaccard of one weighted set with each of several others."""
+    row, token, weight = np.repeat(np.arange(len(others)), [len(b) for b, _ in others]), *(np.concatenate(c) for c in zip(*others, strict=True))
+    at = np.minimum(np.searchsorted(a, token), len(a) - 1)
+    hit = a[at] == token
+    y = np.zeros((len(others), len(a)))
+    y[row[hit], at[hit]] = weight[hit]
+    mine = np.where(y > 0, x, 0.0)
+    order = np.argsort(np.where(y > 0, y / x, np.inf), axis=1, kind="stable")
+    mine, y = np.take_along_axis(mine, order, 1), np.take_along_axis(y, order, 1)
+    low = x.sum() - mine.sum(axis=1, keepdims=True) + np.cumsum(mine, axis=1)
+    high = np.bincount(row, weight, len(others))[:, None] - np.cumsum(y, axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(y > 0, 1 / (low / mine + high / y), 0.0).sum(axis=1)
+
+
+def _overlaps(sets: list[np.ndarray], weights: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``left`` with each of ``right``: common shingles, and the sum of the roots of their shares' products."""
+    who, token = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
+    root = np.concatenate([np.sqrt(w / w.sum()) for w in weights]).astype(np.float32)
+    kinds, at, often = np.unique(token, return_inverse=True, return_counts=True)
+    shared = often[at] > 1  # a shingle of one text only is common to no pair
+    who, root, col = who[shared], root[shared], (np.cumsum(often > 1) - 1)[at[shared]]
+    order = np.argsort(col, kind="stable")
+    who, root, col = who[order], root[order], col[order]
+    common, alike = np.zeros((len(left), len(right)), np.float32), np.zeros((len(left), len(right)), np.float32)
+    weighted = any((w > 1).any() for w in weights)
+    for lo in range(0, int(col[-1]) + 1 if len(col) else 0, _WIDTH):
+        i, j = np.searchsorted(col, [lo, lo + _WIDTH])
+        for out, value in ((common, np.float32(1)), (alike, root[i:j]))[: 1 + weighted]:
+            dense = np.zeros((len(sets), _WIDTH), np.float32)
+            dense[who[i:j], col[i:j] - lo] = value
+            out += dense[left] @ dense[right].T
+    return common, alike
+
+
+def joining(reps: np.ndarray, classes: np.ndarray, left: np.ndarray, right: np.ndarray, sets: list[np.ndarray], weights: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Links between ``left`` and ``right`` that join all classes that any similar pair of theirs joins.
+
+    Probability Jaccard is at most what the two sets' shares have in common, and that at most the sum of the roots of
+    the shares' products; pairs with repeated shingles are computed where that sum reaches the threshold.
+    """
+    common, alike = _overlaps(sets, weights, left, right)
+    size = np.array([len(s) for s in sets])
+    heavy = np.array([(w > 1).any() for w in weights])
+    plain = common.astype(float) / (size[left][:, None] + size[right][None, :] - common)
+    kinds, parent = np.unique(classes, return_inverse=True)
+    label = np.arange(len(kinds))  # of each class, the least one that it has been joined to
+    out: list[tuple[int, int]] = []
+
+    def join(i: np.ndarray, j: np.ndarray) -> None:
+        pair = parent[left[i]] * len(kinds) + parent[right[j]]
+        for k in np.unique(pair, return_index=True)[1]:
+            a, b = label[parent[left[i[k]]]], label[parent[right[j[k]]]]
+            if a != b:
+                out.append((int(reps[left[i[k]]]), int(reps[right[j[k]]])))
+                label[label == max(a, b)] = min(a, b)
+
+    join(*np.nonzero((plain >= threshold) & (classes[left][:, None] != classes[right][None, :])))
+    for i in np.flatnonzero(heavy[left] | heavy[right].any()):
+        a = left[i]
+        j = np.flatnonzero((heavy[a] | heavy[right]) & (alike[i] >= threshold - 1e-3) & (label[parent[right]] != label[parent[a]]))
+        step = max(1, (1 << 19) // len(sets[a]))
+        for lo in range(0, len(j), step):
+            some = j[lo : lo + step]
+            near = some[shares(sets[a], weights[a], [(sets[k], weights[k]) for k in right[some]]) >= threshold]
+            join(np.full(len(near), i), near)
+    return out
+
+
+def _joined(threshold: float):
+    def run(table: pa.Table) -> pa.Table:
+        reps, classes, side = (table.column(c).to_numpy() for c in ("rep", "class", "side"))
+        sets = [np.frombuffer(x.as_buffer(), "<u4") for x in table.column("members")]
+        weights = [np.frombuffer(x.as_buffer(), "<u4").astype(float) for x in table.column("weights")]
+        weights = [w if len(w) else np.ones(len(s)) for s, w in zip(sets, weights, strict=True)]
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if table.column("own")[0].as_py():
+            right = left
+        found = joining(reps, classes, left, right, sets, weights, threshold) if len(left) and len(right) else []
+        return pa.table([pa.array([min(x) for x in found], pa.int64()), pa.array([max(x) for x in found], pa.int64())], names=["a", "b"])
 
+    return run
 
-def _by_prefix(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of ``members(rep, class, outside)`` in different classes, one of them outside, that can be similar.
 
-    With each set's shingles from rare to frequent, two similar sets share one among the first few, and it stands so
-    early that enough can follow: prefix and position filters, which lose no pair. A text's own changes are its rarest
-    shingles, so one that is far from the rest of its group meets hardly any of it.
+def _by_blocks(members: DataFrame, sets: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Links among ``members(leader, rep, class, n)`` of each leader that join classes.
 
-    Probability Jaccard is at most what two sets' weights, as shares of their sums, have in common. So if it reaches
-    the threshold, their first common shingle and those after it hold that share of either set's weight. This is
-    asked of pairs with repeated shingles; of two sets without them it says the same as the prefixes.
+    Members of the leader's largest class aren't compared with each other. All others are, and with those, in pairs of
+    blocks; a text stands in as many pairs of blocks as there are blocks of others.
     """
-    kinds = "rep long, class long, outside boolean, n long, mass long, token long, weight long"
-    every = sets.join(members, "rep").select("rep", "class", "outside", "members", "weights").mapInArrow(_tokens, kinds)
-    often = every.groupBy("token").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("rep").orderBy("df", "token")
-    first = every.join(often, "token").withColumns({"at": F.row_number().over(order), "upto": F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, 0))})
-    early = F.col("at") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
-    heavy = F.col("mass") - F.col("upto") + F.col("weight") >= F.lit(threshold - 1e-9) * F.col("mass")
-    first = first.withColumns({"early": early, "heavy": heavy, "repeats": F.col("mass") > F.col("n")}).where("early or heavy")
-    names = ("rep", "class", "outside", "n", "at", "early", "heavy", "repeats")
-    first = materialise(first.select("token", *names), "prefixes")
-    one, two = (first.select("token", *(F.col(c).alias(f"{p}{c}") for c in names)) for p in "ab")
-    follows = 1 + F.least(F.col("an") - F.col("aat"), F.col("bn") - F.col("bat"))
-    enough = follows >= F.lit(threshold / (1 + threshold)) * (F.col("an") + F.col("bn")) - 1e-9
-    can = (F.col("aearly") & F.col("bearly") & enough) | ((F.col("arepeats") | F.col("brepeats")) & F.col("aheavy") & F.col("bheavy"))
-    met = one.where("aoutside").join(two, (one["token"] == two["token"]) & (F.col("aclass") != F.col("bclass")) & can)
-    return met.select(F.least("arep", "brep").alias("a"), F.greatest("arep", "brep").alias("b"))
-
-
-def _plausible(threshold: float):
-    """Whether two sets of these sizes can be similar; sets with repeated shingles always can."""
-    small, large = F.least("an", "bn"), F.greatest("an", "bn")
-    return (small >= F.lit(threshold) * large) | F.col("heavy")
-
-
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n_words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    parts = members.groupBy("leader", "class").agg(F.count("*").alias("part"), F.sum("n").alias("shingles"))
+    top = parts.groupBy("leader").agg(
+        F.max(F.struct("part", "class", "shingles")).alias("top"), F.count("*").alias("classes"), F.sum("part").alias("texts"), F.sum("shingles").alias("shingles")
+    )
+
+    def blocks(texts: Column, of: Column) -> Column:
+        return F.greatest(F.ceil(texts / F.lit(block)), F.ceil(of / F.lit(BLOCK_SHINGLES))).cast("int")
+
+    top = top.where("classes > 1").select(
+        "leader",
+        F.col("top.class").alias("main"),
+        blocks(F.col("texts") - F.col("top.part"), F.col("shingles") - F.col("top.shingles")).alias("others"),
+        blocks(F.col("top.part"), F.col("top.shingles")).alias("mains"),
+    )
+    dealt = members.join(top, "leader").withColumn("out", F.col("class") != F.col("main"))
+    mine = F.pmod(F.xxhash64("rep"), F.when(F.col("out"), F.col("others")).otherwise(F.col("mains"))).cast("int")
+    dealt = dealt.withColumn("mine", mine)
+    # x: a block of others; y: one of others (kind 0), or of the largest class (kind 1)
+    among = "transform(sequence(0, others - 1), k -> struct(0 as kind, least(mine, k) as x, greatest(mine, k) as y, if(mine > k, 1, 0) as side, mine = k as own))"
+    across = "transform(sequence(0, mains - 1), k -> struct(1 as kind, mine as x, k as y, 0 as side, false as own))"
+    main = "transform(sequence(0, others - 1), k -> struct(1 as kind, k as x, mine as y, 1 as side, false as own))"
+    dealt = dealt.withColumn("at", F.expr(f"if(out, concat({among}, {across}), {main})")).select("leader", "rep", "class", "at")
+    dealt = dealt.join(sets.select("rep", "members", "weights"), "rep").select("leader", "rep", "class", "members", "weights", F.explode("at").alias("at"))
+    dealt = dealt.select("leader", "at.*", "rep", "class", "members", "weights")
+    return dealt.groupBy("leader", "kind", "x", "y").applyInArrow(_joined(threshold), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n_words: int = WORDS, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK_TEXTS) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id``, ``class_id`` (least doc_id of its class), ``n_copies`` (rows
     with the same words)."""
-    kinds = "doc_id long, k1 long, k2 long, n_set long, bands array<long>, members binary, weights binary"
-    described = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(_describe(n_words, bands, rows), kinds), "shingles")
-    every = materialise(described.select("doc_id", "k1", "k2", "n_set"), "keys")
-    filled = described.where(F.col("doc_id").isNotNull() & (F.col("n_set") > 0))
-    copies = materialise(filled.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")), "copies")
-    # one row for each distinct text, without its shingles
-    slim = filled.select("doc_id", "k1", "k2", "n_set", (F.octet_length("weights") > 0).alias("heavy"), "bands")
-    chosen = slim.join(copies.select("k1", "k2", F.col("rep").alias("doc_id")), ["k1", "k2", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
-
-    placed = chosen.select(F.col("doc_id").alias("rep"), F.col("n_set").alias("n"), "heavy", F.posexplode("bands").alias("band", "bucket"))
-    placed = placed.where("bucket is not null").withColumn("band", F.col("band") % bands)
-    sizes = placed.groupBy("band", "bucket").agg(F.count("*").alias("size")).where("size > 1")
-    placed = placed.join(sizes, ["band", "bucket"])
-    placed = buckets = materialise(placed, "buckets")
-    central = placed.groupBy("rep").agg(F.sum("size").alias("meets"))
-    # the shingles of texts that share a bucket with another; those of all others aren't needed again
-    met = described.select(F.col("doc_id").alias("rep"), "k1", "k2", "members", "weights").join(central.select("rep"), "rep", "left_semi")
-    sets = materialise(met.join(copies.select("k1", "k2", "rep"), ["k1", "k2", "rep"], "left_semi").select("rep", "members", "weights"), "sets")
-    forget(described)
-    placed = placed.join(central, "rep")
-
-    leaders = placed.groupBy("band", "bucket").agg(F.max(F.struct("meets", (-F.col("rep")).alias("rep"), "n", "heavy")).alias("lead"))
-    pairs = (
-        placed.join(leaders, ["band", "bucket"])
-        .select(F.col("rep").alias("a"), (-F.col("lead.rep")).alias("b"), F.col("n").alias("an"), F.col("lead.n").alias("bn"), (F.col("heavy") | F.col("lead.heavy")).alias("heavy"))
-        .where((F.col("a") != F.col("b")) & _plausible(threshold))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-    )
-    tried = materialise(pairs, "pairs")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    kinds = "doc_id long, k1 long, k2 long, n long, heavy boolean, buckets array<long>"
+    described = materialise(texts.mapInArrow(_describe(n_words, bands, rows), kinds), "described")
+    filled = described.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
+    # one row for each distinct text
+    own = F.min_by(F.struct("n", "heavy", "buckets"), "doc_id").alias("own")
+    copies = materialise(filled.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), own).select("k1", "k2", "rep", "n_copies", "own.*"), "copies")
+
+    placed = copies.select("rep", "n", "heavy", F.explode("buckets").alias("bucket"))
+    sizes = placed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    met = materialise(placed.join(sizes, "bucket"), "buckets")
+    central = met.groupBy("rep").agg(F.sum("size").alias("meets"))
+    leaders = met.join(central, "rep").groupBy("bucket").agg(F.max(F.struct("meets", (-F.col("rep")).alias("rep"), "n", "heavy")).alias("lead"))
+    seats = met.join(leaders, "bucket").select((-F.col("lead.rep")).alias("leader"), F.col("lead.n").alias("ln"), F.col("lead.heavy").alias("lheavy"), "rep", "n", "heavy")
+    seats = materialise(seats.where("rep <> leader").distinct(), "seats")
+    wanted = seats.select("rep").union(seats.select("leader")).distinct()
+    found = only(texts.withColumnRenamed("doc_id", "rep"), wanted, "rep").mapInArrow(_sets(n_words), "rep long, k1 long, k2 long, members binary, weights binary")
+    sets = materialise(found.dropDuplicates(["rep", "k1", "k2"]).select("rep", "members", "weights"), "sets")
+
+    # sets with repeated shingles can be similar whatever their sizes
+    likely = F.col("heavy") | F.col("lheavy") | (F.least("n", "ln") >= F.lit(threshold) * F.greatest("n", "ln"))
+    tried = seats.where(likely).select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
     links = materialise(_links(tried, sets, threshold), "links")
     classes = components(links)
-
-    # buckets of three or more whose members are still in several classes
-    known = placed.where("size > 2").join(classes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
-    parts = known.groupBy("band", "bucket", "class").agg(F.count("*").alias("part"))
-    largest = parts.groupBy("band", "bucket").agg(F.max(F.struct("part", "class")).alias("top"), F.count("*").alias("classes")).where("classes > 1")
-    known = known.join(largest, ["band", "bucket"]).select("band", "bucket", "size", "rep", "n", "heavy", "class", (F.col("class") == F.col("top.class")).alias("main"))
-    known = materialise(known, "mixed")
-    few = known.where(F.col("size") <= PAIRWISE)
-    outside = few.where(~F.col("main")).select("band", "bucket", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("heavy").alias("ah"), F.col("class").alias("ac"))
-    others = few.select("band", "bucket", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("heavy").alias("bh"), F.col("class").alias("bc"), "main")
-    rest = (
-        outside.join(others, ["band", "bucket"])
-        .withColumn("heavy", F.col("ah") | F.col("bh"))
-        .where((F.col("ac") != F.col("bc")) & (F.col("main") | (F.col("a") < F.col("b"))) & _plausible(threshold))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    )
-    many = known.where(F.col("size") > PAIRWISE).groupBy("rep", "class").agg((~F.bool_and("main")).alias("outside"))
-    rest = rest.unionByName(_by_prefix(many, sets, threshold)).distinct().join(tried, ["a", "b"], "left_anti")
-    some, links = links, materialise(links.unionByName(_links(rest, sets, threshold)), "all-links")
+    known = seats.select("leader", "rep", "n").join(classes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
+    members = materialise(known, "members")
+    some, links = links, materialise(links.unionByName(_by_blocks(members, sets, threshold, block)), "all-links")
     classes = components(links)
-    for table in (buckets, sets, tried, some, known, links):
-        forget(table)  # what is returned reads keys, copies and classes only
+    for table in (met, seats, sets, members, some, links):
+        forget(table)  # what is returned reads texts' keys, copies and classes only
 
     member = copies.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("class", "rep").alias("class"), "n_copies")
     # every row finds its text's class; a text that a third of the rows share is a skewed join, which Spark can split
-    found = every.select("doc_id", "k1", "k2", "n_set").join(member, ["k1", "k2"], "left")
-    own = F.col("doc_id").isNull() | (F.col("n_set") == 0) | F.col("class").isNull()
-    return found.select(
+    every = described.select("doc_id", "k1", "k2", "n").join(member, ["k1", "k2"], "left")
+    alone = F.col("doc_id").isNull() | (F.col("n") == 0) | F.col("class").isNull()
+    return every.select(
         "doc_id",
-        F.when(own, F.col("doc_id")).otherwise(F.col("class")).alias("class_id"),
-        F.when(own, F.lit(1)).otherwise(F.col("n_copies")).cast("long").alias("n_copies"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("class")).alias("class_id"),
+        F.when(alone, F.lit(1)).otherwise(F.col("n_copies")).cast("long").alias("n_copies"),
     )
 
 

@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
+
+#: Numbers that are broadcast at most; their hashed form takes some 32 bytes each.
+MOST_SENT = 4_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,3 +44,11 @@ def forget(df: DataFrame) -> None:
     for path in sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()}):
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def only(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` is in ``keys``. Up to ``MOST_SENT`` keys go to the rows; more than that, and both are
+    dealt by key."""
+    if keys.count() <= MOST_SENT:
+        keys = broadcast(keys)
+    return rows.join(keys, key, "left_semi")
