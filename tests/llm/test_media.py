@@ -41,17 +41,45 @@ def test_crops_of_larger_pictures_agree(share):
         assert M.consensus(*crop, *M.describe(other)) < M.INLIERS
 
 
-def test_candidates_are_those_of_all_pairs(spark):
-    """Noisy and resized copies that the verification takes are found, as comparing every pair finds them."""
-    rng, own = np.random.default_rng(9), images(30, 21)
+RECALL = {
+    "crop to half": (lambda a: a[12:80, 14:82], 0.9), "resize 1.1": (lambda a: M._shrunk(a, 1.1), 0.9), "resize 1.2": (lambda a: M._shrunk(a, 1.2), 0.8), "resize 1.5": (lambda a: M._shrunk(a, 1.5), 0.3),
+    "turn": (lambda a: np.rot90(a, 3).copy(), 0.9), "noise": (lambda a: np.clip(a + np.random.default_rng(5).normal(0, 14, a.shape), 0, 255), 0.9), "brightness": (lambda a: np.clip(a * 0.7 + 20, 0, 255), 0.9),
+}
+
+
+@pytest.mark.parametrize("edit", RECALL)
+def test_share_of_edited_copies_found(edit):
+    """A copy is found if it shares a key with its original and the verification takes it."""
+    made, least = RECALL[edit]
+    found = 0
+    for a in images(40, 33):
+        one, two = M.describe(a), M.describe(M.decode(M.pgm(made(a))))
+        found += len(np.intersect1d(M.keys(*one), M.keys(*two))) > 0 and M.consensus(*two, *one) >= M.INLIERS
+    assert found >= least * 40
+
+
+def test_strangers_rarely_meet_and_never_agree():
+    own = [M.describe(a) for a in images(60, 44)]
+    found = [M.keys(*d) for d in own]
+    pairs = [(i, k) for i in range(60) for k in range(i)]
+    assert max(M.consensus(*own[i], *own[k]) for i, k in pairs) < M.INLIERS
+    assert sum(len(np.intersect1d(found[i], found[k])) > 0 for i, k in pairs) < 0.005 * len(pairs)
+
+
+@pytest.mark.parametrize("block", [M.BLOCK_IMAGES, 2])
+def test_candidates_are_those_of_all_pairs(spark, block):
+    """Copies that share a key and that the verification takes are in one class, as comparing every pair puts them."""
+    rng, own = np.random.default_rng(9), images(16, 21)
     made = [(k, a) for k, a in enumerate(own)]
-    made += [(100 + k, np.clip(a + rng.normal(0, 14, a.shape), 0, 255)) for k, a in enumerate(own)]
-    made += [(200 + k, M._shrunk(np.clip(a + rng.normal(0, 6, a.shape), 0, 255), 1.25)) for k, a in enumerate(own)]
+    made += [(100 * n + k, np.clip(a + rng.normal(0, 14, a.shape), 0, 255)) for n in (1, 2, 3) for k, a in enumerate(own)]
+    made += [(400 + k, M._shrunk(np.clip(a + rng.normal(0, 6, a.shape), 0, 255), 1.25)) for k, a in enumerate(own)]
+    made += [(500 + k, M._shrunk(a, 1.8)) for k, a in enumerate(own)]
     content = {i: M.pgm(a) for i, a in made}
     described = {i: M.describe(M.decode(c)) for i, c in content.items()}
-    links = [(i, k) for i in described for k in described if i < k and M.consensus(*described[i], *described[k]) >= M.INLIERS]
-    assert len(links) > 30 and sum(k >= 200 for _, k in links) > 3 and all(i % 100 == k % 100 for i, k in links)
-    got = {r.media_id: r.class_id for r in M.media_copies(spark.createDataFrame(list(content.items()), "media_id long, content binary")).collect()}
+    keyed = {i: M.keys(*d) for i, d in described.items()}
+    links = [(i, k) for i in described for k in described if i < k and len(np.intersect1d(keyed[i], keyed[k])) and M.consensus(*described[i], *described[k]) >= M.INLIERS]
+    assert len(links) > 60 and sum(k >= 400 for _, k in links) > 9 and all(i % 100 == k % 100 for i, k in links)
+    got = {r.media_id: r.class_id for r in M.media_copies(spark.createDataFrame(list(content.items()), "media_id long, content binary"), block=block).collect()}
     assert [(i, k) for i, k in links if got[i] != got[k]] == []
     assert all(c % 100 == i % 100 for i, c in got.items())
 

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from veracta.llm import near_dedup as nd
+from veracta.llm.dealing import across_blocks
 from veracta.llm.graph import components
 
 from .cases import none, odd
@@ -136,7 +137,7 @@ def test_blocks_join_what_any_similar_pair_joins(spark):
     big = max(set(whole), key=whole.count)
     for start in (list(range(len(sets))), [big if c == big and k % 4 else k for k, c in enumerate(whole)]):  # nothing known; three quarters of a class known
         seats = spark.createDataFrame([(10**6, k, start[k], len(sets[k][0])) for k in range(len(sets))], "leader long, rep long, class long, n long")
-        found = [(r.a, r.b) for r in nd._by_blocks(seats, table, 0.8, block=32).collect()]
+        found = [(r.a, r.b) for r in across_blocks(seats, table, nd._joined(0.8), 32, 1 << 19).collect()]
         assert classes(found + [(k, c) for k, c in enumerate(start) if c != k]) == whole
 
 

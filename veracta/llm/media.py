@@ -1,24 +1,27 @@
 """Cropped or edited copies of images, by local descriptors.
 
-An image is a binary PGM (8 bit). Corners are found at several scales; each
-gets 256 binary intensity tests whose pattern is turned by the patch's own
-orientation. Ten keys of 24 sampled bits are taken of each: of an image's
-descriptors some agree with a copy's in a whole key, which the Hamming tables
-join on. Near tests say the same, so strangers meet in such keys too: a meeting
-counts only if the two whole descriptors are as near as a match must be. The
-corners of an image are the strongest of each cell of a grid, so their number
-grows with the area and a crop finds its own among them. The matches of
-two images count if one similarity transform (from one match's places, scales
-and orientations) brings enough others into place.
+An image is a binary PGM (8 bit). Corners are found at several scales, in steps
+of about an eighth; each gets 256 binary intensity tests whose pattern is turned
+by the patch's own orientation. The corners of an image are the strongest of
+each cell of a grid, so their number grows with the area and a crop finds its
+own among them.
+
+The Hamming tables join on keys of two neighbouring corners: sampled tests of
+either, and coarsely how far, in which direction and how turned the second is as
+seen from the first. One patch's tests say much the same, so strangers meet in a
+key of one corner; they rarely do in two that also lie alike. The matches of two
+images count if one similarity transform (from one match's places, scales and
+orientations) brings enough others into place.
 
 Equal bytes share one representative first. A table's bucket is compared with
-one leader, the image that meets most others; images that stay in different
-classes are then compared with all in their buckets, as for near-duplicate
-texts. Buckets of one key that very many images share cost one row for each.
+one leader, the image that meets most others, which costs one row for each
+member. What a leader's members of several classes may still have in common is
+looked at in pairs of blocks, as for near-duplicate texts.
 
 A null or undecodable content, or one without corners, is in a class of its
 own (undecodable equal bytes: of one class). Repeated rows stay, extra columns
-are ignored, and an empty table gives an empty result.
+are ignored, and an empty table gives an empty result. A very large image is
+described whole: some 30 bytes of memory for each of its pixels.
 """
 
 from __future__ import annotations
@@ -31,18 +34,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .dealing import across_blocks
 from .graph import components
 from .storage import forget, materialise
 from .textbatch import mix
 
 #: ``CORNERS`` are for each cell of at most ``GRID`` by ``GRID`` pixels.
-SCALES, CORNERS, GRID, BITS, KEYS = (1.0, 1.5, 2.25), (20, 10, 4), 96, 256, 8
-MARGIN, NEAR_BITS, INLIERS, REACH, TURN, SIZE = 8, 64, 6, 3.0, 0.5, 1.6
-_rng = np.random.default_rng(20240)
-_PATTERN = np.clip(_rng.normal(0, 3.2, (BITS, 4)), -6.5, 6.5)
-_TURNS = 32
-#: The bits of each table's key.
-_SAMPLES = np.random.default_rng(1).permutation(BITS)[:240].reshape(10, 24)
+SCALES, CORNERS, GRID, BITS, WORDS = (1.0, 1.13, 1.28, 1.44, 1.63, 1.84, 2.07), (14, 12, 10, 8, 6, 5, 5), 96, 256, 8
+#: Matches count once for each ``SPOT`` pixels square: a corner is often found at several scales.
+MARGIN, NEAR_BITS, INLIERS, REACH, TURN, SIZE, SPOT = 8, 40, 6, 3.0, 0.5, 1.3, 6
+#: Of a key: tests of each of two corners, tables, neighbours of a corner, how near and far they are in pixels of their scale, directions, ratio of distances.
+SAMPLED, TABLES, NEIGHBOURS, NEAREST, FARTHEST, SECTORS, RATIO = 24, 2, 3, 4.0, 60.0, 8, 1.6
+#: What one side of a pair of blocks holds on average, at most: images, and corners of theirs.
+BLOCK_IMAGES, BLOCK_CORNERS = 256, 1 << 15
+
+
+def _tests(n: int, least: float = 7.0) -> np.ndarray:
+    """Pairs of points, some way apart: what tests of nearer points say depends on noise."""
+    rng, out = np.random.default_rng(20240), np.zeros((0, 4))
+    while len(out) < n:
+        p = np.clip(rng.normal(0, 3.2, (n, 4)), -6.5, 6.5)
+        out = np.concatenate([out, p[np.hypot(p[:, 0] - p[:, 2], p[:, 1] - p[:, 3]) >= least]])
+    return out[:n]
+
+
+_PATTERN = _tests(BITS)
+#: For each table the tests of the first and of the second corner.
+_SAMPLES = [np.random.default_rng(100 + t).permutation(BITS)[: 2 * SAMPLED].reshape(2, SAMPLED) for t in range(TABLES)]
 _HEAD = re.compile(rb"P5\s+(?:#[^\n]*\n\s*)*(\d+)\s+(\d+)\s+(\d+)\s")
 
 
@@ -82,10 +100,11 @@ _DISC = (_YY**2 + _XX**2) <= 49
 
 
 def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Corners as (x, y, scale, angle) in the image's own pixels, and their tests as rows of eight 32-bit keys."""
+    """Corners as (x, y, scale, angle) in the image's own pixels, and their tests as rows of eight 32-bit words."""
     places, tests = [], []
+    across, down = -(-image.shape[1] // GRID), -(-image.shape[0] // GRID)
     for scale, most in zip(SCALES, CORNERS, strict=True):
-        a = _shrunk(_box(image, 1) if scale == 1 else _box(image, 2), scale)
+        a = _box(_shrunk(image, scale), 1)
         if min(a.shape) < 2 * MARGIN + 3:
             continue
         gy, gx = np.gradient(a)
@@ -101,33 +120,66 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         y, x = np.nonzero(peak)
         if not len(y):
             continue
-        across = -(-image.shape[1] // GRID)
-        cell = (((y + MARGIN) * scale).astype(int) * -(-image.shape[0] // GRID) // image.shape[0]) * across + ((x + MARGIN) * scale).astype(int) * across // image.shape[1]
+        cell = (((y + MARGIN) * scale).astype(int) * down // image.shape[0]) * across + ((x + MARGIN) * scale).astype(int) * across // image.shape[1]
         order = np.lexsort((x, y, -core[y, x], cell))
         first = np.searchsorted(cell[order], cell[order])
         order = order[np.arange(len(order)) - first < most]
         y, x = y[order] + MARGIN, x[order] + MARGIN
-        patch = a[y[:, None, None] + _YY, x[:, None, None] + _XX] * _DISC
-        angle = np.arctan2((patch * _YY).sum((1, 2)), (patch * _XX).sum((1, 2)))
-        turn = np.rint(angle / (2 * np.pi) * _TURNS) % _TURNS * (2 * np.pi / _TURNS)
-        c, s = np.cos(turn)[:, None], np.sin(turn)[:, None]
-        smooth = _box(a, 1)
-
-        def at(px: np.ndarray, py: np.ndarray, c=c, s=s, x=x, y=y, smooth=smooth) -> np.ndarray:
-            qx = np.rint(c * px - s * py).astype(int) + x[:, None]
-            qy = np.rint(s * px + c * py).astype(int) + y[:, None]
-            return smooth[np.clip(qy, 0, smooth.shape[0] - 1), np.clip(qx, 0, smooth.shape[1] - 1)]
-
-        bits = at(_PATTERN[:, 0], _PATTERN[:, 1]) < at(_PATTERN[:, 2], _PATTERN[:, 3])
-        tests.append(np.packbits(bits, axis=1).view("<u4"))
-        places.append(np.stack([(x + 0.5) * scale - 0.5, (y + 0.5) * scale - 0.5, np.full(len(x), scale), angle], axis=1))
+        smooth, bits, angle = _box(a, 2), [], []
+        for lo in range(0, len(y), 4096):
+            i = slice(lo, lo + 4096)
+            patch = a[y[i, None, None] + _YY, x[i, None, None] + _XX] * _DISC
+            angle.append(np.arctan2((patch * _YY).sum((1, 2)), (patch * _XX).sum((1, 2))))
+            c, s = np.cos(angle[-1])[:, None], np.sin(angle[-1])[:, None]
+            at = [_between(smooth, s * px + c * py + y[i, None], c * px - s * py + x[i, None]) for px, py in ((_PATTERN[:, 0], _PATTERN[:, 1]), (_PATTERN[:, 2], _PATTERN[:, 3]))]
+            bits.append(np.packbits(at[0] < at[1], axis=1).view("<u4"))
+        tests += bits
+        places.append(np.stack([(x + 0.5) * scale - 0.5, (y + 0.5) * scale - 0.5, np.full(len(x), scale), np.concatenate(angle)], axis=1))
     if not tests:
-        return np.zeros((0, 4)), np.zeros((0, KEYS), np.uint32)
+        return np.zeros((0, 4)), np.zeros((0, WORDS), np.uint32)
     return np.concatenate(places), np.concatenate(tests)
 
 
+def _between(a: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Values between pixels, bilinear."""
+    y, x = np.clip(y, 0, a.shape[0] - 1.001), np.clip(x, 0, a.shape[1] - 1.001)
+    y0, x0 = y.astype(int), x.astype(int)
+    fy, fx, flat, at = (y - y0).astype(np.float32), (x - x0).astype(np.float32), a.ravel(), y0 * a.shape[1] + x0
+    upper = flat[at] * (1 - fx) + flat[at + 1] * fx
+    return upper * (1 - fy) + (flat[at + a.shape[1]] * (1 - fx) + flat[at + a.shape[1] + 1] * fx) * fy
+
+
+def keys(places: np.ndarray, tests: np.ndarray) -> np.ndarray:
+    """Distinct keys of pairs of neighbouring corners, of all tables."""
+    if len(places) < 2:
+        return np.zeros(0, np.uint64)
+    bits = np.unpackbits(np.ascontiguousarray(tests).view(np.uint8), axis=1).astype(np.float32)
+    power = (2.0 ** np.arange(SAMPLED)).astype(np.float32)  # whole numbers below 2 ** 24 are exact
+    words = [[(bits[:, s] @ power).astype(np.uint64) for s in pair] for pair in _SAMPLES]
+    out = []
+    for scale in np.unique(places[:, 2]):
+        own = np.flatnonzero(places[:, 2] == scale)
+        x, y, angle = places[own, 0] / scale, places[own, 1] / scale, places[own, 3]
+        step = max(1, (1 << 20) // len(own))
+        for lo in range(0, len(own), step):
+            dx, dy = x[None, :] - x[lo : lo + step, None], y[None, :] - y[lo : lo + step, None]
+            far = np.hypot(dx, dy)
+            far[far < NEAREST] = np.inf
+            n = min(NEIGHBOURS, len(own))
+            near = np.argpartition(far, n - 1, axis=1)[:, :n]
+            i, k = np.nonzero(np.take_along_axis(far, near, 1) <= FARTHEST)
+            j = near[i, k]
+            heading = (np.arctan2(dy[i, j], dx[i, j]) - angle[lo + i]) % (2 * np.pi)
+            turned = (angle[j] - angle[lo + i]) % (2 * np.pi)
+            lie = [np.minimum(v * (SECTORS / (2 * np.pi)), SECTORS - 1).astype(np.uint64) for v in (heading, turned)]
+            lie = (lie[0] * np.uint64(SECTORS) + lie[1]) * np.uint64(64) + (np.log(far[i, j]) / np.log(RATIO)).astype(np.uint64)
+            for t, (one, two) in enumerate(words):
+                out.append(mix(mix(lie * np.uint64(TABLES) + np.uint64(t) + (one[own[lo + i]] << np.uint64(32))) ^ (two[own[j]] * np.uint64(0x9E3779B97F4A7C15))))
+    return np.unique(np.concatenate(out))
+
+
 def consensus(a: np.ndarray, da: np.ndarray, b: np.ndarray, db: np.ndarray) -> int:
-    """The most corners of ``a`` that one similarity transform takes to their matches in ``b``."""
+    """The most places in ``a`` with a corner that one similarity transform takes to its match in ``b``."""
     if not len(a) or not len(b):
         return 0
     near, j = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
@@ -142,6 +194,7 @@ def consensus(a: np.ndarray, da: np.ndarray, b: np.ndarray, db: np.ndarray) -> i
     size, turn = q[:, 2] / p[:, 2], q[:, 3] - p[:, 3]
     c, s = size * np.cos(turn), size * np.sin(turn)
     tx, ty = q[:, 0] - (c * p[:, 0] - s * p[:, 1]), q[:, 1] - (s * p[:, 0] + c * p[:, 1])
+    spot = np.floor(p[:, 0] / SPOT) * 1e6 + np.floor(p[:, 1] / SPOT)
     most = 0
     for lo in range(0, len(i), step):  # each match's transform, tried on every other match
         k = slice(lo, lo + step)
@@ -151,7 +204,11 @@ def consensus(a: np.ndarray, da: np.ndarray, b: np.ndarray, db: np.ndarray) -> i
         # a corner that the transform takes to its match is also turned and resized by it
         fits &= np.abs((turn[k, None] - turn[None, :] + np.pi) % (2 * np.pi) - np.pi) <= TURN
         fits &= np.abs(np.log(size[k, None] / size[None, :])) <= np.log(SIZE)
-        most = max(most, int(fits.sum(1).max()))
+        count = fits.sum(1)
+        for r in np.argsort(-count, kind="stable"):
+            if count[r] <= most:
+                break
+            most = max(most, len(np.unique(spot[fits[r]])))
     return most
 
 
@@ -161,46 +218,55 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some, rows = batch.slice(lo, 64), []
             for content in some.column(1):
                 image = decode(content.as_py())
-                at, keys = describe(image) if image is not None else (np.zeros((0, 4)), np.zeros((0, KEYS), np.uint32))
+                at, keys = describe(image) if image is not None else (np.zeros((0, 4)), np.zeros((0, WORDS), np.uint32))
                 rows.append((at.astype("<f4").tobytes(), keys.astype("<u4").tobytes()))
             cols = [pa.array(c, pa.binary()) for c in zip(*rows, strict=True)]
             yield pa.RecordBatch.from_arrays([some.column(0), *cols], names=["rep", "places", "tests"])
 
 
+def _arrays(places: pa.Scalar, tests: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(places.as_buffer(), "<f4").reshape(-1, 4), np.frombuffer(tests.as_buffer(), "<u4").reshape(-1, WORDS)
+
+
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each key of each descriptor, with the whole descriptor as four numbers."""
+    """A row for each key of each image."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
-            reps, tests = (batch.column(c).slice(lo, 256).to_pylist() for c in ("rep", "tests"))
-            keys = np.frombuffer(b"".join(tests), "<u4").reshape(-1, KEYS)
-            rep, whole = np.repeat(reps, [len(t) // (4 * KEYS) for t in tests]), np.ascontiguousarray(keys).view("<i8")
-            bits = np.unpackbits(np.ascontiguousarray(keys).view(np.uint8), axis=1).astype(np.int64)
-            for t, chosen in enumerate(_SAMPLES):
-                key = bits[:, chosen] @ (1 << np.arange(len(chosen))) + (t << len(chosen))
-                yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(key), *(pa.array(whole[:, k].copy()) for k in range(4))], names=["rep", "key", "d0", "d1", "d2", "d3"])
-
-
-def _near(left: str, right: str):
-    """Whether the descriptors of two rows, named with these prefixes, differ in few enough bits."""
-    return sum((F.bit_count(F.col(f"{left}d{k}").bitwiseXOR(F.col(f"{right}d{k}"))) for k in range(1, 4)), F.bit_count(F.col(f"{left}d0").bitwiseXOR(F.col(f"{right}d0")))) <= NEAR_BITS
+            some = batch.slice(lo, 256)
+            found = [keys(*_arrays(*x)) for x in zip(some.column("places"), some.column("tests"), strict=True)]
+            rep = np.repeat(some.column("rep").to_numpy(), [len(k) for k in found])
+            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(np.concatenate(found).view(np.int64))], names=["rep", "key"])
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for k in range(batch.num_rows):
-            a, da, b, db = (np.frombuffer(batch.column(c)[k].as_buffer(), t) for c, t in (("ap", "<f4"), ("at", "<u4"), ("bp", "<f4"), ("bt", "<u4")))
-            out.append(consensus(a.reshape(-1, 4), da.reshape(-1, KEYS), b.reshape(-1, 4), db.reshape(-1, KEYS)))
+        out = [consensus(*_arrays(a, b), *_arrays(c, d)) for a, b, c, d in zip(*(batch.column(k) for k in ("ap", "at", "bp", "bt")), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.int64())], names=["a", "b", "inliers"])
 
 
 def _links(pairs: DataFrame, images: DataFrame, inliers: int) -> DataFrame:
     for side in "ab":
         pairs = pairs.join(images.select(F.col("rep").alias(side), F.col("places").alias(f"{side}p"), F.col("tests").alias(f"{side}t")), side)
-    return pairs.select("a", "b", "ap", "at", "bp", "bt").mapInArrow(_agreeing, "a long, b long, inliers long").where(F.col("inliers") >= inliers)
+    return pairs.select("a", "b", "ap", "at", "bp", "bt").mapInArrow(_agreeing, "a long, b long, inliers long").where(F.col("inliers") >= inliers).select("a", "b")
+
+
+def _joined(inliers: int):
+    def run(table: pa.Table) -> pa.Table:
+        rep, label, side = (table.column(c).to_numpy() for c in ("rep", "class", "side"))
+        label, own, out = label.copy(), table.column("own")[0].as_py(), []
+        image = [_arrays(*x) for x in zip(table.column("places"), table.column("tests"), strict=True)]
+        left = np.flatnonzero(side == 0)
+        for n, i in enumerate(left):
+            for j in left[n + 1 :] if own else np.flatnonzero(side == 1):
+                if label[i] != label[j] and consensus(*image[i], *image[j]) >= inliers:
+                    out.append((int(min(rep[i], rep[j])), int(max(rep[i], rep[j]))))
+                    label[label == label[j]] = label[i]
+        return pa.table([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return run
 
 
-def media_copies(media: DataFrame, inliers: int = INLIERS) -> DataFrame:
+def media_copies(media: DataFrame, inliers: int = INLIERS, block: int = BLOCK_IMAGES) -> DataFrame:
     """One row for each row of ``media(media_id, content)``: ``media_id``, ``class_id`` (least id of its class),
     ``n_copies`` (rows with the same bytes)."""
     rows = media.select(F.col("media_id").cast("long").alias("media_id"), F.col("content").cast("binary").alias("content"))
@@ -210,35 +276,30 @@ def media_copies(media: DataFrame, inliers: int = INLIERS) -> DataFrame:
     chosen = rows.join(copies.select("md", F.col("rep").alias("media_id")), ["md", "media_id"], "left_semi").dropDuplicates(["media_id"])
     images = materialise(chosen.select("media_id", "content").mapInArrow(_described, "rep long, places binary, tests binary"), "images")
 
-    # a key that two images have; meetings count if the whole descriptors are near
-    whole = ["d0", "d1", "d2", "d3"]
-    placed = images.select("rep", "tests").mapInArrow(_keyed, "rep long, key long, d0 long, d1 long, d2 long, d3 long")
-    placed = materialise(placed, "media-keys")
-    sizes = placed.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("key", "size")
-    shared = placed.join(sizes, "key")
-    shared = materialise(shared.join(shared.groupBy("rep").agg(F.sum("size").alias("meets")), "rep"), "media-buckets")
-    forget(placed)
-    lead = shared.groupBy("key").agg(F.max(F.struct("meets", (-F.col("rep")).alias("rep"), *whole)).alias("lead"))
-    led = shared.join(lead, "key").select("*", *(F.col(f"lead.{d}").alias(f"l{d}") for d in whole), (-F.col("lead.rep")).alias("other"))
-    pairs = led.where((F.col("rep") != F.col("other")) & _near("", "l"))
-    tried = materialise(pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct(), "media-pairs")
+    placed = images.mapInArrow(_keyed, "rep long, key long")
+    sizes = placed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    met = materialise(placed.join(sizes, "key"), "media-buckets")
+    central = met.groupBy("rep").agg(F.sum("size").alias("meets"))
+    leaders = met.join(central, "rep").groupBy("key").agg((-F.max(F.struct("meets", (-F.col("rep")).alias("rep")))["rep"]).alias("leader"))
+    # a bucket of two holds no more pairs than that with its leader
+    seats = met.join(leaders, "key").where("rep <> leader").groupBy("leader", "rep").agg(F.max("size").alias("size"))
+    seats = materialise(seats, "media-seats")
+    tried = seats.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
     links = materialise(_links(tried, images, inliers), "media-links")
     classes = components(links)
 
-    known = shared.join(classes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
-    parts = known.groupBy("key", "class").agg(F.count("*").alias("part"))
-    top = parts.groupBy("key").agg(F.max(F.struct("part", "class")).alias("top"), F.count("*").alias("classes")).where("classes > 1")
-    known = known.join(top, "key").select("key", "rep", "class", (F.col("class") == F.col("top.class")).alias("main"), *whole)
-    outside = known.where(~F.col("main")).select("key", F.col("rep").alias("a"), F.col("class").alias("ac"), *(F.col(d).alias(f"a{d}") for d in whole))
-    others = known.select("key", F.col("rep").alias("b"), F.col("class").alias("bc"), "main", *(F.col(d).alias(f"b{d}") for d in whole))
-    rest = outside.join(others, "key").where(F.expr("ac <> bc and (main or a < b)") & _near("a", "b"))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = materialise(links.unionByName(_links(rest.join(tried, ["a", "b"], "left_anti"), images, inliers)), "media-all-links")
+    corners = images.select("rep", (F.octet_length("places") / 16).cast("long").alias("n"))
+    members = seats.where("size > 2").select("leader", "rep").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
+    members = materialise(members.withColumn("class", F.coalesce("class", "rep")).join(corners, "rep"), "media-members")
+    found = across_blocks(members, images, _joined(inliers), block, BLOCK_CORNERS)
+    some, links = links, materialise(links.unionByName(found), "media-all-links")
     classes = components(links)
+    for table in (met, seats, members, images, some, links):
+        forget(table)
 
     member = copies.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("md", F.coalesce("class", "rep").alias("class"), "n_copies")
-    found, own = every.join(member, "md", "left"), F.col("media_id").isNull() | F.col("class").isNull()
-    return found.select(
+    out, own = every.join(member, "md", "left"), F.col("media_id").isNull() | F.col("class").isNull()
+    return out.select(
         "media_id",
         F.when(own, F.col("media_id")).otherwise(F.col("class")).alias("class_id"),
         F.when(own, F.lit(1)).otherwise(F.col("n_copies")).cast("long").alias("n_copies"),

@@ -35,10 +35,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
+from .dealing import across_blocks
 from .graph import components
 from .storage import forget, materialise, only
 
@@ -282,39 +283,6 @@ def _joined(threshold: float):
     return run
 
 
-def _by_blocks(members: DataFrame, sets: DataFrame, threshold: float, block: int) -> DataFrame:
-    """Links among ``members(leader, rep, class, n)`` of each leader that join classes.
-
-    Members of the leader's largest class aren't compared with each other. All others are, and with those, in pairs of
-    blocks; a text stands in as many pairs of blocks as there are blocks of others.
-    """
-    parts = members.groupBy("leader", "class").agg(F.count("*").alias("part"), F.sum("n").alias("shingles"))
-    top = parts.groupBy("leader").agg(
-        F.max(F.struct("part", "class", "shingles")).alias("top"), F.count("*").alias("classes"), F.sum("part").alias("texts"), F.sum("shingles").alias("shingles")
-    )
-
-    def blocks(texts: Column, of: Column) -> Column:
-        return F.greatest(F.ceil(texts / F.lit(block)), F.ceil(of / F.lit(BLOCK_SHINGLES))).cast("int")
-
-    top = top.where("classes > 1").select(
-        "leader",
-        F.col("top.class").alias("main"),
-        blocks(F.col("texts") - F.col("top.part"), F.col("shingles") - F.col("top.shingles")).alias("others"),
-        blocks(F.col("top.part"), F.col("top.shingles")).alias("mains"),
-    )
-    dealt = members.join(top, "leader").withColumn("out", F.col("class") != F.col("main"))
-    mine = F.pmod(F.xxhash64("rep"), F.when(F.col("out"), F.col("others")).otherwise(F.col("mains"))).cast("int")
-    dealt = dealt.withColumn("mine", mine)
-    # x: a block of others; y: one of others (kind 0), or of the largest class (kind 1)
-    among = "transform(sequence(0, others - 1), k -> struct(0 as kind, least(mine, k) as x, greatest(mine, k) as y, if(mine > k, 1, 0) as side, mine = k as own))"
-    across = "transform(sequence(0, mains - 1), k -> struct(1 as kind, mine as x, k as y, 0 as side, false as own))"
-    main = "transform(sequence(0, others - 1), k -> struct(1 as kind, k as x, mine as y, 1 as side, false as own))"
-    dealt = dealt.withColumn("at", F.expr(f"if(out, concat({among}, {across}), {main})")).select("leader", "rep", "class", "at")
-    dealt = dealt.join(sets.select("rep", "members", "weights"), "rep").select("leader", "rep", "class", "members", "weights", F.explode("at").alias("at"))
-    dealt = dealt.select("leader", "at.*", "rep", "class", "members", "weights")
-    return dealt.groupBy("leader", "kind", "x", "y").applyInArrow(_joined(threshold), "a long, b long")
-
-
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n_words: int = WORDS, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK_TEXTS) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id``, ``class_id`` (least doc_id of its class), ``n_copies`` (rows
     with the same words)."""
@@ -344,7 +312,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n_words: int
     classes = components(links)
     known = seats.select("leader", "rep", "n").join(classes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
     members = materialise(known, "members")
-    some, links = links, materialise(links.unionByName(_by_blocks(members, sets, threshold, block)), "all-links")
+    some, links = links, materialise(links.unionByName(across_blocks(members, sets, _joined(threshold), block, BLOCK_SHINGLES)), "all-links")
     classes = components(links)
     for table in (met, seats, sets, members, some, links):
         forget(table)  # what is returned reads texts' keys, copies and classes only
