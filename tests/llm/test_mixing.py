@@ -47,18 +47,40 @@ def test_targets_taken_and_limits(spark):
     for i, _, s in rows:
         assert got[i].target == pytest.approx(goal[s]) and got[i].source_size == sizes[s]
     for s in sizes:
-        assert taken[s] == pytest.approx(goal[s], rel=0.03, abs=3 * X.BLOCK), s
+        # five standard deviations of the draw, and a few blocks
+        assert taken[s] == pytest.approx(goal[s], abs=5 * (goal[s] * X.BLOCK) ** 0.5 + 3 * X.BLOCK), s
     again = {r.doc_id: r.taken for r in X.mixed(df.repartition(7)).collect()}
     assert again == {i: r.taken for i, r in got.items()}
 
 
 def test_each_turn_takes_every_block_once(spark):
-    goal = spark.createDataFrame([("a", 128 * 50, 5.0, 128.0 * 150), ("b", 128 * 70 + 5, 1.0, 128.0 * 100)], "source string, source_size long, weight double, target double")
-    uses = X.slots(goal, 1).collect()
+    goal = spark.createDataFrame([("a", 128 * 50, 5.0, 128.0 * 140), ("b", 128 * 70 + 5, 1.0, 128.0 * 100)], "source string, source_size long, weight double, target double")
+    uses = X.slots(goal, 1, block=128).collect()
     a = {r["index"]: r.uses for r in uses if r.source == "a"}
     b = {r["index"]: r.uses for r in uses if r.source == "b"}
-    assert set(a) == set(range(50)) and set(a.values()) <= {2, 3} and sum(a.values()) >= 148
-    assert set(b) == set(range(71)) and set(b.values()) <= {1, 2}
+    for one, blocks in ((a, 50), (b, 71)):
+        turns = sum(one.values()) // blocks
+        assert set(one) <= set(range(blocks)) and set(one.values()) <= {turns, turns + 1} and max(one.values()) <= 3
+    assert 239 <= sum(a.values()) + sum(b.values()) <= 242
+
+
+def test_counts_are_multinomial(spark):
+    """Every shard's counts sum to its slots; over shards they have a multinomial's mean and variance."""
+    share = {1: 0.5, 2: 0.3, 3: 0.15, 4: 0.05}
+    total, upto, rows = 120_000.0, 0.0, []
+    for k, p in share.items():
+        upto += p * total
+        rows.append((k, p * total, upto))
+    got = {(r.shard, r.k): r.n for r in X.counts(spark.createDataFrame(rows, "k int, want double, upto double"), total, 3).collect()}
+    shards = -(-120_000 // X.SHARD_SLOTS)
+    for shard in range(shards):
+        assert sum(got.get((shard, k), 0) for k in share) in (120_000 // shards, 120_000 // shards + 1)
+    size = 120_000 / shards
+    for k, p in share.items():
+        own = [got.get((shard, k), 0) for shard in range(shards)]
+        mean = sum(own) / shards
+        assert mean == pytest.approx(size * p, abs=4 * (size * p * (1 - p) / shards) ** 0.5)
+        assert sum((x - mean) ** 2 for x in own) / (shards - 1) == pytest.approx(size * p * (1 - p), rel=0.3)
 
 
 def test_the_main_path_has_no_python(spark):

@@ -2,11 +2,13 @@
 
 Texts of a source stand end to end, in an order dealt by hash; that stream is
 cut into blocks of a fixed number of words. Each output shard draws how many of
-its slots a source gets: the whole part of its expectation, and a multinomial
-draw over what remains. A source's slots are numbered through all shards and
-mapped to its blocks by a pseudorandom permutation of the blocks' indices, a
-new one each time round; slots and blocks are then joined by that index. No
-source goes round more than ``most`` times.
+its slots each source gets, from a multinomial with the targets' shares: every
+slot falls on the line of all shares by hash, and is counted. So a source's
+taken words are near its target within the draw's own spread, some
+sqrt(slots of the source) blocks. A source's slots are numbered through all
+shards and mapped to its blocks by a pseudorandom permutation of the blocks'
+indices, a new one each time round; slots and blocks are then joined by that
+index. No source goes round more than ``most`` times.
 
 Size is the number of words; a null text has 0 words. Sources weigh by rank,
 null last. Targets share the total size by weight; no target is above ``most``
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .storage import materialise
 
-WEIGHTS, BLOCK, MOST, SHARD_SLOTS, MOST_SHARDS, LANES = (5, 2, 1), 128, 3, 4096, 4096, 1024
+WEIGHTS, BLOCK, MOST, SHARD_SLOTS, MOST_SHARDS, LANES, CELLS = (5, 2, 1), 32, 3, 256, 4096, 1024, 1024
 #: Primes above a number of blocks have no factor in common with it, so that steps of one visit every block once. Fixed values.
 NEAR = (2_147_483_647, 2_147_483_629, 2_147_483_587, 2_147_483_579, 2_147_483_563, 2_147_483_549, 2_147_483_543, 2_147_483_497)
 FAR = (1 << 61) - 1
@@ -58,27 +60,33 @@ def targets(sized: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     return by.select("source", "source_size", "weight", target.alias("target"))
 
 
+def counts(plan: DataFrame, total: float, seed: int) -> DataFrame:
+    """``shard, k, n``: each shard's multinomial draw over ``plan(k, want, upto)``, whose stretches end at ``upto``.
+
+    A slot's place on the line is found by a join on one of ``CELLS`` equal parts of it.
+    """
+    n = round(total)
+    shards = min(MOST_SHARDS, max(1, -(-n // SHARD_SLOTS)))
+    first = (F.col("upto") - F.col("want")) / F.lit(total or 1.0)
+    line = plan.withColumn("a", first).withColumn("b", F.lead("a", 1, 2.0).over(Window.orderBy("k")))
+    cell = F.sequence(F.floor(F.col("a") * CELLS).cast("int"), F.least(F.floor(F.col("b") * CELLS), F.lit(CELLS - 1)).cast("int"))
+    line = line.where(F.col("a") < 1).select("k", "a", "b", F.explode(cell).alias("cell"))
+    spark = plan.sparkSession
+    point = spark.range(0, n, 1, max(spark.sparkContext.defaultParallelism, n >> 21)).select((F.col("id") % shards).alias("shard"), _unit(F.lit(seed), F.lit("draw"), "id").alias("at"))
+    point = point.withColumn("cell", F.floor(F.col("at") * CELLS).cast("int"))
+    return point.join(line, "cell").where("at >= a and at < b").groupBy("shard", "k").agg(F.count("*").alias("n"))
+
+
 def slots(goal: DataFrame, seed: int, block: int = BLOCK, most: int = MOST) -> DataFrame:
     """``source, index, uses``: how often each block is drawn."""
-    every = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    order = Window.orderBy(F.col("source").asc_nulls_last())
     plan = goal.where("source_size > 0").withColumn("blocks", F.ceil(F.col("source_size") / F.lit(block)).cast("long"))
     # the last block is short, so a source's slots count by its blocks' mean length
     plan = plan.withColumn("want", F.col("target") * F.col("blocks") / F.col("source_size"))
-    plan = plan.withColumn("all", F.sum("want").over(every)).withColumn("shards", F.least(F.lit(MOST_SHARDS), F.ceil(F.col("all") / F.lit(SHARD_SLOTS))).cast("int"))
-    shard = plan.select("source", "blocks", (F.col("want") / F.col("shards")).alias("mean"), F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
-    shard = shard.withColumn("whole", F.floor("mean").cast("long")).withColumn("rest", F.col("mean") - F.col("whole"))
-    # the draw over the rests: points on a line on which each source has a stretch as long as its rest
-    by_source = Window.partitionBy("shard").orderBy(F.col("source").asc_nulls_last())
-    shard = shard.withColumn("from", F.coalesce(F.sum("rest").over(by_source.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    length = shard.groupBy("shard").agg(F.sum("rest").alias("length"))
-    point = length.where("round(length) >= 1").select("shard", "length", F.explode(F.sequence(F.lit(1), F.round("length").cast("int"))).alias("j"))
-    point = point.select("shard", (_unit(F.lit(seed), F.lit("draw"), "shard", "j") * F.col("length")).alias("at"))
-    line = shard.select("shard", F.col("from").alias("at"), F.struct("source").alias("holder"), F.lit(0).alias("drawn")).where("rest > 0")
-    line = line.union(point.select("shard", "at", F.lit(None).cast("struct<source:string>"), F.lit(1)))
-    hit = line.withColumn("holder", F.last("holder", ignorenulls=True).over(Window.partitionBy("shard").orderBy("at", "drawn")))
-    extra = hit.where("drawn = 1").groupBy("shard", F.col("holder.source").alias("source")).agg(F.count("*").alias("extra"))
-    extra = extra.select(F.col("shard").alias("s2"), F.col("source").alias("source2"), "extra")
-    shard = shard.join(extra, (F.col("shard") == F.col("s2")) & F.col("source").eqNullSafe(F.col("source2")), "left").withColumn("n", F.col("whole") + F.coalesce("extra", F.lit(0)))
+    plan = plan.withColumn("k", F.row_number().over(order)).withColumn("upto", F.sum("want").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    total = plan.agg(F.sum("want")).first()[0] or 0.0
+    drawn = counts(plan.select("k", "want", "upto"), total, seed)
+    shard = drawn.join(plan.select("k", "source", "blocks"), "k")
     past = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shard = shard.withColumn("first", F.coalesce(F.sum("n").over(past), F.lit(0)))
     # a source's slots, dealt out by number so that a large source isn't one task's work
