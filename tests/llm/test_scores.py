@@ -134,7 +134,7 @@ def sentences(n=400):
         if bad:
             words[rng.randrange(30)] = rng.choice(["Scum", "idiot"])
         if bad and i % 3 == 0 or i % 29 == 0:  # abuse names a group more often than other texts do
-            words[rng.randrange(30)] = "muslims"
+            words[rng.randrange(30)] = "muslims" if i // 12 % 2 else "immigrants"
         rows.append((i, " ".join(words), int(bad)))
     return rows
 
@@ -159,10 +159,22 @@ def score(m, text):
     return float(m.scores(next(tb.slices(pa.array([text])))[2])[0])
 
 
-def test_the_penalty_makes_a_neutral_mention_count_less():
-    gap = [abs(score(m, "word1 muslims word2") - score(m, "word1 christians word2")) for m in (model(0.0), model(50.0))]
-    assert gap[1] < gap[0]
-    assert score(model(50.0), "word1 idiot word2") >= 0.7
+@pytest.mark.parametrize("term", ["muslims", "immigrants", "Immigrants"])
+def test_the_penalty_makes_a_neutral_mention_count_less(term):
+    free, held = model(0.0), model(toxicity.PENALTY)
+    base = score(held, "word1 word2")
+    assert score(free, f"word1 {term} word2") > score(free, "word1 word2") + 0.03
+    assert score(held, f"word1 {term} word2") < min(score(free, f"word1 {term} word2"), base + 0.02)
+    assert score(held, "word1 natives word2") < base + 0.02 and score(held, "word1 christians word2") < base + 0.02
+    assert score(held, f"word1 idiot word2 {term}") >= 0.7
+
+
+def test_counterfactuals_swap_a_whole_term():
+    known = toxicity.terms((("immigrants", "natives", "guests"),))
+    own = set(toxicity.features(next(tb.slices(pa.array(["immigrants came"])))[2])[1].tolist())
+    other = toxicity.counterfactuals(own, known)
+    want = [set(toxicity.features(next(tb.slices(pa.array([t])))[2])[1].tolist()) for t in ("natives came", "guests came", "came")]
+    assert other == want and toxicity.counterfactuals(want[2], known) == []
 
 
 def test_toxicity_of_odd_rows_and_missing_labels(spark):

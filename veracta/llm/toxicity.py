@@ -4,9 +4,11 @@ A text is the set of its words and of longer words' first bytes (hashed; ASCII
 letters lower-cased). A logistic
 regression is fitted on labelled texts over the words that tell the two labels
 apart. Its loss has one more term: in each training text, identity terms are
-swapped for another of their group, and a change of the score is penalised, so
-that a neutral mention of a group isn't taken for abuse. Words of the identity
-groups are always among the features, so that the penalty has something to
+swapped for every other of their group, and for none, and a change of the
+score (its log odds) is penalised, so
+that a neutral mention of a group isn't taken for abuse. A term is swapped with
+all that it gives, its word and its first bytes. What the identity
+groups give is always among the features, so that the penalty has something to
 hold.
 
 At most ``most_train`` labelled rows are read for learning, those with the
@@ -58,14 +60,25 @@ def features(texts: tb.Texts) -> tuple[np.ndarray, np.ndarray]:
     return (both >> np.uint64(40)).astype(np.int64), (both & np.uint64((1 << 40) - 1)).astype(np.int64)
 
 
-def swaps(groups=IDENTITIES) -> dict[int, int]:
-    """For each identity term's hash that of the term it is swapped for."""
-    hashed = {}
-    for group in groups:
-        for w in group:
-            _, _, texts = next(tb.slices(pa.array([w])))
-            hashed[w] = int((tb.hashes(texts, tb.runs(_WORD[texts.data], texts), _TABLE) >> np.uint64(24))[0])
-    return {hashed[w]: hashed[group[(i + 1) % len(group)]] for group in groups for i, w in enumerate(group)}
+def terms(groups=IDENTITIES) -> list[list[list[int]]]:
+    """For each group and term the term's features, its word first."""
+
+    def given(word: str) -> list[int]:
+        _, _, texts = next(tb.slices(pa.array([word])))
+        whole = int((tb.hashes(texts, tb.runs(_WORD[texts.data], texts), _TABLE) >> np.uint64(24))[0])
+        return [whole, *(k for k in features(texts)[1].tolist() if k != whole)]
+
+    return [[given(w) for w in group] for group in groups]
+
+
+def counterfactuals(own: set[int], known: list[list[list[int]]]) -> list[set[int]]:
+    """A text's features with its identity terms swapped for the next of their group, the one after, and so on, and dropped."""
+    present = [(group, i) for group in known for i, t in enumerate(group) if t[0] in own]
+    if not present:
+        return []
+    rest = own - {k for group, i in present for k in group[i]}
+    turns = range(1, max(len(group) for group, _ in present))
+    return [rest | {k for group, i in present for k in group[(i + r) % len(group)]} for r in turns] + [rest]
 
 
 class Model:
@@ -100,8 +113,9 @@ def fit(sets: list[np.ndarray], labels: np.ndarray, groups=IDENTITIES, penalty:
     z = np.abs(p - q) / np.sqrt(np.maximum(mean * (1 - mean), 1e-12) * (1 / positive + 1 / (n - positive)))
     # among so many words, some are this far apart by chance
     z[(all_ < 3) | (z < np.sqrt(2 * np.log(len(kinds))) + 0.5)] = 0
-    swapped = swaps(groups)
-    chosen = np.unique(np.concatenate([kinds[np.argsort(-z, kind="stable")[:most]][: int((z > 0).sum())], np.array(list(swapped), np.int64)]))
+    known = terms(groups)
+    held = np.unique(np.array([k for group in known for t in group for k in t], np.int64))
+    chosen = np.unique(np.concatenate([kinds[np.argsort(-z, kind="stable")[:most]][: int((z > 0).sum())], held]))
     place = {int(k): i for i, k in enumerate(chosen)}
 
     def matrix(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -109,7 +123,7 @@ def fit(sets: list[np.ndarray], labels: np.ndarray, groups=IDENTITIES, penalty:
 
     own = [[place[k] for k in s.tolist() if k in place] for s in sets]
     row, col = matrix(own)
-    pairs = [(x, [place[swapped.get(k, k)] for k in s.tolist() if k in place]) for x, s in zip(own, sets, strict=True) if any(k in swapped for k in s.tolist())]
+    pairs = [(x, [place[k] for k in other if k in place]) for x, s in zip(own, sets, strict=True) for other in counterfactuals(set(s.tolist()), known)]
     a_row, a_col = matrix([x for x, _ in pairs])
     b_row, b_col = matrix([x for _, x in pairs])
 
@@ -121,9 +135,8 @@ def fit(sets: list[np.ndarray], labels: np.ndarray, groups=IDENTITIES, penalty:
         slip = weight * (score - target)
         grad = np.bincount(col, slip[row], len(chosen)) + RIDGE * w
         if pairs:
-            s, t = (1 / (1 + np.exp(-(np.bincount(r, w[c], len(pairs)) + bias))) for r, c in ((a_row, a_col), (b_row, b_col)))
-            gap = 2 * penalty * (s - t) / len(pairs)
-            grad += np.bincount(a_col, (gap * s * (1 - s))[a_row], len(chosen)) - np.bincount(b_col, (gap * t * (1 - t))[b_row], len(chosen))
+            gap = 2 * penalty * (np.bincount(a_row, w[a_col], len(pairs)) - np.bincount(b_row, w[b_col], len(pairs))) / len(pairs)
+            grad += np.bincount(a_col, gap[a_row], len(chosen)) - np.bincount(b_col, gap[b_row], len(chosen))
         whole = np.append(grad, slip.sum())
         m, v = 0.9 * m + 0.1 * whole, 0.999 * v + 0.001 * whole**2
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
