@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 
@@ -55,6 +56,41 @@ def test_messages_are_exact_on_a_tree():
     assert np.allclose(got, want / want.sum(1, keepdims=True), atol=1e-6)
 
 
+def test_secrets_are_found_where_they_are_named_and_where_they_repeat():
+    key, other = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde", "9f0c1d2e3b4a59687766554433221100ffeeddcc"
+    text = f'A token = "{key}" here. ' + "filler " * 200 + f"then {key} and the file {other} stay. Call +33 1 23 45 67 89."
+    base, every = P.spans(text, P.prior())
+    more = sorted(set(every) - set(base))
+    assert [text[a:b] for a, _, b in more] == [key, key] and {k for _, k, _ in more} == {P.SECRET}
+    assert P.KINDS[: P.BASE] == ("email", "ip", "card", "phone")
+
+
+def test_marginals_of_a_text_are_those_of_all_labellings():
+    """Loopy messages on a text's own small graph give the labels that summing over all labellings gives."""
+    key = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde"
+    for text in (f"password: {key} xx +33 1 23 45 67 89 yy 33123456789 zz {key}", f"{key} and {key} and 7654321", "a@b.co then a@b then 1.2.3.4 then 1234567"):
+        weights = P.prior()
+        nodes, seen, chain, skip = P.graph(text)
+        unary = np.array([P.node_features(text, *n) for n in nodes]) @ weights.own
+        for i in np.flatnonzero(seen):
+            unary[i] = -1e3
+            unary[i, seen[i]] = 0
+        total = np.zeros((len(nodes), P.N))
+        for labels in itertools.product(range(P.N), repeat=len(nodes)):
+            score = sum(unary[i, k] for i, k in enumerate(labels)) + sum(weights.skip[labels[i], labels[j]] for i, j in skip)
+            for i, k in enumerate(labels):
+                total[i, k] += np.exp(score)
+        got = P.marginals(unary, chain + skip, [weights.chain] * len(chain) + [weights.skip] * len(skip))
+        assert (got.argmax(1) == total.argmax(1)).all()
+
+
+def test_few_nodes_come_to_the_driver(spark):
+    text = " ".join(f"{i:09d}" for i in range(3000))
+    df = spark.createDataFrame([(None, text)] * 40, "doc_id long, text string")
+    weights = P.learn(df, most_train=5, most_nodes=50)
+    assert P.detected(df, weights).count() == 40
+
+
 def corpus():
     rng = random.Random(8)
     rows = []

@@ -1,7 +1,9 @@
 """Personal data by patterns and a skip-chain conditional random field.
 
 Four patterns give the base spans. Other tokens that look alike are candidates:
-numbers of seven digits or more, and words with an @. They and the base spans
+numbers of seven digits or more, words with an @, and long words of letters and
+digits, which may be secrets (a kind of its own, which has no base spans; one is
+plain where a key's or password's name and a sign of assignment stand before it). They and the base spans
 are the nodes of a graph. Neighbours in the text are linked, and so are distant
 nodes that are equal or alike (same digits, same last digits, same local part);
 a key's occurrences are linked one to the next and to the first, so that links
@@ -10,8 +12,8 @@ the other nodes' labels, so that an entity that is plain at one place is found
 where it is written without what made it plain.
 
 The weights are learned by pseudo-likelihood, with the base spans' kinds as
-labels, on nodes of at most ``most_train`` texts (those with the least hash of
-their id); each node is seen once as it is and once with its telling features
+labels and plain secrets as theirs, on at most ``MOST_NODES`` nodes of some ``most_train`` texts (those with the least hash of
+id and text); each node is seen once as it is and once with its telling features
 hidden, so that the links have to explain it. A prior draws linked nodes
 together where the sample has no links.
 
@@ -30,8 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("email", "ip", "card", "phone")
-MOST_TRAIN, NEAR, ROUNDS, CERTAIN = 4_000, 60, 12, 0.5
+KINDS = ("email", "ip", "card", "phone", "secret")
+#: Kinds with base spans stand first.
+BASE, SECRET = 4, 4
+MOST_TRAIN, MOST_NODES, NEAR, ROUNDS, CERTAIN = 4_000, 20_000, 60, 12, 0.5
 
 # The patterns' own starts keep the search linear; they match what the contract's patterns match.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -41,6 +45,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NUMBER = re.compile(r"[(+]?[0-9](?:[\x20().-]{0,2}[0-9]){6,}+")
 _AT = re.compile(r"[^\s@<>,;()\"']{1,256}@[^\s@<>,;()\"']{1,256}")
+_WORD = re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*[0-9])(?=[0-9_-]*[A-Za-z])[A-Za-z0-9_-]{20,128}(?![A-Za-z0-9_-])")
+_NAMED = re.compile(r"(?:token|secret|passw(?:or)?d|passwd|pwd|api[ _-]?key|access[ _-]?key|private[ _-]?key|bearer|auth\w*)[\"']?\s*(?:[:=]|is)?\s*[\"']?$", re.I)
 _DIGITS = re.compile(r"[0-9]")
 _HINTS = (re.compile(r"e-?mail|mailto", re.I), re.compile(r"\bip\b|host|server", re.I), re.compile(r"card|visa|credit|iban", re.I), re.compile(r"tel|phone|call|fax|mobil", re.I))
 
@@ -79,18 +85,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-FEATURES = 24
+FEATURES = 27
 #: Features that make a kind plain by themselves, hidden in the second view of a training node.
-TELLING = [2, 3, 4, 5, 6]
+TELLING = [2, 3, 4, 5, 6, 25]
 
 
 def node_features(text: str, start: int, end: int) -> np.ndarray:
     own = text[start:end]
-    digits = re.sub("[^0-9]", "", own)
-    n, at = len(digits), "@" in own
     before = text[max(0, start - 24) : start]
     x = np.zeros(FEATURES)
     x[0] = 1
+    x[23] = before.rstrip()[-1:] in ("=", '"', "#")
+    if _WORD.fullmatch(own):
+        x[24], x[25], x[26] = 1, _NAMED.search(before) is not None, re.fullmatch("[0-9a-fA-F]+", own) is not None
+        return x
+    digits = re.sub("[^0-9]", "", own)
+    n, at = len(digits), "@" in own
     x[1] = at
     x[2] = at and _DOMAIN.search(own, own.index("@") + 1) is not None
     x[3] = not at and own.count(".") == 3 and _IP.fullmatch(own) is not None
@@ -106,7 +116,6 @@ def node_features(text: str, start: int, end: int) -> np.ndarray:
         x[17 + i] = hint.search(before) is not None
     x[21] = start > 0 and text[start - 1].isalnum()
     x[22] = end < len(text) and text[end].isalnum()
-    x[23] = before.rstrip()[-1:] in ("=", '"', "#")
     return x
 
 
@@ -114,6 +123,8 @@ def _keys(own: str) -> list[str]:
     if "@" in own:
         local = own.partition("@")[0].lower()
         return [f"m{own.lower()}", f"l{local}"]
+    if _WORD.fullmatch(own):
+        return [f"s{own.lower()}"]
     digits = re.sub("[^0-9]", "", own)
     if own.count(".") == 3:
         return [f"i{own}"]
@@ -129,7 +140,15 @@ def graph(text: str) -> tuple[list[tuple[int, int]], np.ndarray, list[tuple[int,
         reach = max(reach, b)
         ends.append((a, reach))
     starts = [a for a, _ in ends]
-    found = [m.span() for m in _NUMBER.finditer(text)] + ([m.span() for m in _AT.finditer(text)] if "@" in text else [])
+    found = [m.span() for m in _WORD.finditer(text)]
+    within = [a for a, _ in found]
+
+    def apart(a: int, b: int) -> bool:  # a number inside a long word is no node of its own
+        i = int(np.searchsorted(within, b)) - 1
+        return i < 0 or found[i][1] <= a
+
+    numbers = [m.span() for m in _NUMBER.finditer(text)] + ([m.span() for m in _AT.finditer(text)] if "@" in text else [])
+    found = found + [s for s in numbers if apart(*s)]
     for a, b in sorted(found):
         i = int(np.searchsorted(starts, b)) - 1  # the last base span that begins before b
         if i < 0 or ends[i][1] <= a:
@@ -159,10 +178,10 @@ class Weights:
 def prior() -> Weights:
     own = np.zeros((FEATURES, N))
     own[0, 0] = 2.0
-    for k, f in enumerate((2, 3, 4, 5)):
-        own[f, k + 1] = 4.0
+    for k, (f, w) in enumerate(((2, 4.0), (3, 4.0), (4, 4.0), (5, 4.0), (25, 6.0))):
+        own[f, k + 1] = w
     skip = np.zeros((N, N))
-    skip[range(1, N), range(1, N)] = 4.0
+    skip[range(N), range(N)] = 4.0  # for no entity too, or else unlabelled repeats would talk each other into one
     return Weights(own, np.zeros((N, N)), skip)
 
 
@@ -234,25 +253,33 @@ def joined(found: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in found)
 
 
-def learn(docs: DataFrame, most_train: int = MOST_TRAIN) -> Weights:
-    """Weights from the nodes of at most ``most_train`` texts of ``docs(doc_id, text)``; those nodes come to the driver."""
+def learn(docs: DataFrame, most_train: int = MOST_TRAIN, most_nodes: int = MOST_NODES) -> Weights:
+    """Weights from at most ``most_nodes`` nodes of some ``most_train`` texts of ``docs(doc_id, text)``; those nodes
+    come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text in batch.column(0).to_pylist():
+            for row in range(batch.num_rows):
+                h, text = (batch.column(c)[row].as_py() for c in (0, 1))
                 nodes, seen, chain, skip = graph(text or "")
+                x = np.array([node_features(text, *n) for n in nodes[:most_nodes]]).reshape(-1, FEATURES)
+                label = seen.copy()
+                label[: len(x)][(seen[: len(x)] == 0) & (x[:, 25] > 0)] = SECRET + 1
                 near, far = np.zeros((len(nodes), N)), np.zeros((len(nodes), N))
                 for out, links in ((near, chain), (far, skip)):
                     for i, j in links:
-                        out[i, seen[j]] += 1
-                        out[j, seen[i]] += 1
-                rows += [np.concatenate([[seen[i]], node_features(text, *nodes[i]), near[i], far[i]]).tolist() for i in range(len(nodes))]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64()))], names=["row"])
+                        out[i, label[j]] += 1
+                        out[j, label[i]] += 1
+                rows = np.hstack([label[: len(x), None], x, near[: len(x)], far[: len(x)]])
+                cols = [pa.array(np.full(len(x), h, np.int64)), pa.array(np.arange(len(x))), pa.array(list(rows), pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["h", "i", "row"])
 
-    rows = docs.withColumn("h", F.xxhash64("doc_id"))
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("h"), "text")
     bound = rows.select("h").orderBy("h").limit(most_train).agg(F.max("h")).first()[0]
-    got = [r.row for r in rows.where(F.col("h") <= bound).select("text").mapInArrow(run, "row array<double>").collect()] if bound is not None else []
+    got = []
+    if bound is not None:
+        nodes = rows.where(F.col("h") <= bound).mapInArrow(run, "h long, i long, row array<double>")
+        got = [r.row for r in nodes.orderBy("h", "i").limit(most_nodes).collect()]  # equal rows may share a hash
     got = np.array(sorted(got)).reshape(-1, 1 + FEATURES + 2 * N)
     return fit(got[:, 1 : 1 + FEATURES], got[:, 1 + FEATURES : 1 + FEATURES + N], got[:, 1 + FEATURES + N :], got[:, 0].astype(int))
 
@@ -261,11 +288,11 @@ def _described(texts: pa.Array, weights: Weights) -> pa.Array:
     out = []
     for t in texts:
         base, every = spans(t.as_py() or "", weights)
-        counts = [sum(k == i for _, k, _ in base) for i in range(len(KINDS))]
+        counts = [sum(k == i for _, k, _ in base) for i in range(BASE)]
         out.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(every)))
-    kinds = [pa.int64()] * 4 + [pa.string()] * 2
+    kinds = [pa.int64()] * BASE + [pa.string()] * 2
     cols = [pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]
-    return pa.StructArray.from_arrays(cols, names=[*(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+    return pa.StructArray.from_arrays(cols, names=[*(f"n_{k}" for k in KINDS[:BASE]), "base_sha256", "spans"])
 
 
 def _redacted(texts: pa.Array, weights: Weights) -> pa.Array:
@@ -283,7 +310,7 @@ def _redacted(texts: pa.Array, weights: Weights) -> pa.Array:
 
 def detected(docs: DataFrame, weights: Weights) -> DataFrame:
     """``doc_id``, the base spans' number of each kind and digest, and all spans, for each row of ``docs``."""
-    kinds = ", ".join([*(f"n_{k} long" for k in KINDS), "base_sha256 string", "spans string"])
+    kinds = ", ".join([*(f"n_{k} long" for k in KINDS[:BASE]), "base_sha256 string", "spans string"])
 
     def run(texts: pa.Array) -> pa.Array:
         return _described(texts, weights)
