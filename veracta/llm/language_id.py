@@ -105,7 +105,7 @@ def learn(docs: DataFrame, most_train: int = MOST_TRAIN, length: int = LENGTH) -
     """
     from pyspark.sql import Window
 
-    rows = docs.where("lang is not null").withColumn("h", F.xxhash64("doc_id"))
+    rows = docs.where("lang is not null").withColumn("h", F.xxhash64("doc_id", "text"))
     bound = rows.select("h").orderBy("h").limit(most_train).agg(F.max("h")).first()[0]
     if bound is None:
         return Profiles({}, length)
