@@ -12,14 +12,17 @@ from veracta.llm.folds import held_out
 from veracta.llm.queries import pattern, vocabulary
 from veracta.llm.storage import materialise
 
-LEAST_SCORE = 0.02
+#: A text whose n-grams are this far from every profile, or nearly as near the second as the first, is of no known language.
+LEAST_SCORE, LEAST_MARGIN = 0.4, 0.03
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text's language can be told stay: not those without a letter, nor those unlike every profile."""
+    """Rows whose text's language can be told stay: not those without a letter, those unlike every profile, or those
+    between two of them."""
     profiles = language_id.learn(docs.where(~held_out()).select("doc_id", "text", "lang"))
     found = language_id.identify(docs, profiles)
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    told = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE) & (F.col("margin") >= LEAST_MARGIN)
+    return found.where(told).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
