@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veracta.functions import dates
 from veracta.operators import review
-from veracta.plans import catalogue
+from veracta.plans import catalogue, records  # noqa: F401
 
 TABLES = Path("/root/testdata/sf0.001")
 SAMPLE = ("consensus_report", "confusion_prf", "wide_export", "dedupe_corrections", "country_detect", "lev_metrics", "name_split", "stem_prefix", "numeric_dates", "words_to_int", "rule_findings", "gap_cluster", "ols_interpolate", "range_join", "last_write_wins", "declaration_map", "quality_metrics", "job_status", "session_ttl", "json_repair_stages")
@@ -46,6 +46,11 @@ def test_query_is_its_sql(spark, duck, name):
     assert sorted(tuple(map(plain, r)) for r in got) == sorted(tuple(map(plain, r)) for r in want)
 
 
+@pytest.mark.parametrize("name", ["record_rules", "record_places", "record_scores", "record_report", "work_list", "shown_values", "available_crops", "refined_boxes"])
+def test_records_and_lists_are_their_sql(spark, duck, name):
+    test_query_is_its_sql(spark, duck, name)
+
+
 def test_every_query_without_sql_runs(spark, duck):
     for name in set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL):
         assert catalogue.QUERIES[name](spark, str(TABLES)).count() > 0, name

@@ -136,6 +136,14 @@ def test_rules(found, case):
     assert not [f for f in found[case] if f[0] in silent]
 
 
+@pytest.mark.parametrize(("strict", "want"), [(False, "Villeneuve"), (True, None)])
+def test_a_pack_without_places_takes_those_of_the_fallback(spark, strict, want):
+    rows = [(1, {"lieu_naissance": ("VILLENEUVE", "")}, []), (2, {"lieu_naissance": ("VILLENEUVE", "")}, ["Autre"])]
+    records = spark.createDataFrame(rows, "doc_id long, fields map<string,struct<value:string,raw:string>>, places array<string>")
+    got = {r.doc_id: r.place for r in checks.best_places(records, ["Villeneuve"], strict).collect()}
+    assert got == {1: want, 2: None}
+
+
 def test_a_place_is_put_into_its_known_form_for_scoring_only(spark):
     m = spark.createDataFrame([("d", "lieu_naissance", "Villneuve"), ("d", "x", "y")], "doc_id string, field string, value string")
     known = spark.createDataFrame([("d", "lieu_naissance", "Villeneuve")], "doc_id string, field string, place string")

@@ -55,11 +55,16 @@ def _parsed(name: str) -> Column:
     return F.coalesce(F.col("d")[k]["date"], F.col("d")[k + 1]["date"])
 
 
-def best_places(records: DataFrame, gazetteers: DataFrame | None = None) -> DataFrame:
+def best_places(records: DataFrame, fallback: list[str] | None = None, strict: bool = False) -> DataFrame:
     """``doc_id, field, value, place, place_score`` of each place field: its nearest name in the record's ``places``.
 
+    A pack without places takes those of another one, ``fallback``, as the system described does; ``strict`` leaves it
+    without.
+
     Each distinct pair of a spelling and a pack is compared once: the distinct step comes before the Arrow function.
     """
+    if fallback and not strict:
+        records = records.withColumn("places", F.when(F.coalesce(F.size("places"), F.lit(0)) > 0, F.col("places")).otherwise(F.array(*(F.lit(p) for p in fallback))))
     named = records.select("doc_id", "places", F.explode(F.array(*(F.struct(F.lit(n).alias("field"), _get(n)[0].alias("value")) for n in PLACES))).alias("f")).where("f.value is not null")
     named = named.select("doc_id", F.col("f.field").alias("field"), F.col("f.value").alias("value"), "places", F.xxhash64("places").alias("pack"))
     packs = named.groupBy("pack").agg(F.first("places").alias("places"))
@@ -72,8 +77,8 @@ def best_places(records: DataFrame, gazetteers: DataFrame | None = None) -> Data
     return named.join(best, ["pack", "value"]).select("doc_id", "field", "value", F.when(F.col("place_score") >= PLACE_SCORE, F.col("place")).alias("place"), "place_score")
 
 
-def findings(records: DataFrame) -> DataFrame:
-    """``doc_id, ord, field, level, message``: every finding, in the order of the rules."""
+def findings(records: DataFrame, fallback: list[str] | None = None, strict: bool = False) -> DataFrame:
+    """``doc_id, ord, field, level, message``: every finding, in the order of the rules; ``fallback`` and ``strict`` as for ``best_places``."""
     d = lambda n: F.col(f"d_{n}")
     found: list[Column] = []
     add = lambda *cases: found.append(F.array(*cases))
@@ -131,7 +136,7 @@ def findings(records: DataFrame) -> DataFrame:
     rows = with_dates(records).select("doc_id", F.posexplode(F.filter(F.flatten(F.array(*found)), lambda x: x.isNotNull())).alias("ord", "f"))
     rows = rows.select("doc_id", "ord", "f.*")
 
-    places = best_places(records)
+    places = best_places(records, fallback, strict)
     known = F.col("place").isNotNull()
     rows = rows.unionByName(places.select("doc_id", F.lit(900).alias("ord"), "field", F.when(known, "ok").otherwise("warn").alias("level"), F.when(known, "place known").otherwise("place not known").alias("message")))
     return rows.unionByName(equal_pairs(records))

@@ -102,3 +102,30 @@ def upload_reason(name: Column, size: Column, most: int = 25 * 1024 * 1024) -> C
     """Why an upload is refused, or null."""
     ok = F.lower(name).rlike("\\.(png|jpe?g|tiff?|bmp|webp|pdf)$")
     return F.when(~F.coalesce(ok, F.lit(False)), "suffix").when(F.coalesce(size, F.lit(0)) == 0, "empty").when(size > most, "too large")
+
+
+def work_list(jobs: DataFrame, runs: DataFrame) -> DataFrame:
+    """``tier, id, status, started``: jobs at work or failed first, the latest started at the top, then runs by id."""
+    open_ = jobs.where(F.col("status").isin("running", "error")).select(F.lit(0).alias("tier"), "id", "status", "started")
+    rest = runs.select(F.lit(1).alias("tier"), "id", "status", F.lit(None).cast(jobs.schema["started"].dataType).alias("started"))
+    return open_.unionByName(rest).orderBy("tier", F.desc("started"), "id")
+
+
+def shown(correction: Column, value: Column) -> Column:
+    """What a review shows: a correction even if it is empty, else the value, else nothing."""
+    return F.coalesce(correction, value, F.lit(""))
+
+
+def first_true(*values: Column) -> Column:
+    """The first value that is neither null nor empty, else nothing."""
+    return F.coalesce(*(F.nullif(v, F.lit("")) for v in values), F.lit(""))
+
+
+def with_crop(regions: DataFrame, crops: DataFrame) -> DataFrame:
+    """The regions whose crop is there."""
+    return regions.join(crops.select("region"), "region", "left_semi")
+
+
+def with_refined(first: DataFrame, refined: DataFrame) -> DataFrame:
+    """Boxes of the first look and of the second, told apart by ``refined``."""
+    return first.withColumn("refined", F.lit(False)).unionByName(refined.withColumn("refined", F.lit(True)))
