@@ -46,7 +46,7 @@ from .storage import forget, materialise, only
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 25, 5
 #: What one side of a pair of blocks holds on average, at most: texts, and shingles of theirs.
 BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 1 << 19
-_WIDTH = 4096
+_WIDTH = 1024
 _U53 = 1.0 / (1 << 53)
 
 
@@ -260,7 +260,7 @@ def joining(reps: np.ndarray, classes: np.ndarray, left: np.ndarray, right: np.n
     for i in np.flatnonzero(heavy[left] | heavy[right].any()):
         a = left[i]
         j = np.flatnonzero((heavy[a] | heavy[right]) & (alike[i] >= threshold - 1e-3) & (label[parent[right]] != label[parent[a]]))
-        step = max(1, (1 << 19) // len(sets[a]))
+        step = max(1, (1 << 17) // len(sets[a]))
         for lo in range(0, len(j), step):
             some = j[lo : lo + step]
             near = some[shares(sets[a], weights[a], [(sets[k], weights[k]) for k in right[some]]) >= threshold]
