@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .dealing import across_blocks
 from .graph import components
-from .storage import forget, materialise
+from .storage import forget, materialise, only
 from .textbatch import mix
 
 #: ``CORNERS`` are for each cell of at most ``GRID`` by ``GRID`` pixels.
@@ -213,9 +213,13 @@ def consensus(a: np.ndarray, da: np.ndarray, b: np.ndarray, db: np.ndarray) -> i
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    given: set[int] = set()
     for batch in batches:
         for lo in range(0, batch.num_rows, 64):
             some, rows = batch.slice(lo, 64), []
+            some = some.filter(pa.array([(k := x.as_py()) not in given and not given.add(k) for x in some.column(0)], pa.bool_()))
+            if not some.num_rows:
+                continue
             for content in some.column(1):
                 image = decode(content.as_py())
                 at, keys = describe(image) if image is not None else (np.zeros((0, 4)), np.zeros((0, WORDS), np.uint32))
@@ -270,11 +274,17 @@ def media_copies(media: DataFrame, inliers: int = INLIERS, block: int = BLOCK_IM
     """One row for each row of ``media(media_id, content)``: ``media_id``, ``class_id`` (least id of its class),
     ``n_copies`` (rows with the same bytes)."""
     rows = media.select(F.col("media_id").cast("long").alias("media_id"), F.col("content").cast("binary").alias("content"))
-    rows = rows.withColumn("md", F.sha2("content", 256))
-    every = materialise(rows.select("media_id", "md"), "media")
-    copies = materialise(every.where("md is not null and media_id is not null").groupBy("md").agg(F.min("media_id").alias("rep"), F.count("*").alias("n_copies")), "media-copies")
-    chosen = rows.join(copies.select("md", F.col("rep").alias("media_id")), ["md", "media_id"], "left_semi").dropDuplicates(["media_id"])
-    images = materialise(chosen.select("media_id", "content").mapInArrow(_described, "rep long, places binary, tests binary"), "images")
+    rows = rows.withColumns({"md": F.sha2("content", 256), "mark": F.xxhash64("content")})
+    every = materialise(rows.select("media_id", "md", "mark"), "media")
+    own = every.where("md is not null and media_id is not null").groupBy("md", "mark", "media_id").agg(F.count("*").alias("n"))
+    copies = own.groupBy("md").agg(F.min("media_id").alias("rep"), F.sum("n").alias("n_copies"), F.max("n").alias("most"), F.first("mark").alias("mark"))
+    copies = materialise(copies, "media-copies")
+    # contents don't move: they are described where they are read
+    chosen = only(rows, copies.select("mark", F.col("rep").alias("media_id")), ["mark", "media_id"])
+    described = chosen.select("media_id", "content").mapInArrow(_described, "rep long, places binary, tests binary")
+    if copies.where("most > 1").head(1):  # rows that are repeated whole
+        described = described.dropDuplicates(["rep"])
+    images = materialise(described, "images")
 
     placed = images.mapInArrow(_keyed, "rep long, key long")
     sizes = placed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
@@ -298,7 +308,7 @@ def media_copies(media: DataFrame, inliers: int = INLIERS, block: int = BLOCK_IM
         forget(table)
 
     member = copies.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("md", F.coalesce("class", "rep").alias("class"), "n_copies")
-    out, own = every.join(member, "md", "left"), F.col("media_id").isNull() | F.col("class").isNull()
+    out, own = every.select("media_id", "md").join(member, "md", "left"), F.col("media_id").isNull() | F.col("class").isNull()
     return out.select(
         "media_id",
         F.when(own, F.col("media_id")).otherwise(F.col("class")).alias("class_id"),

@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import broadcast
 
-#: Numbers that are broadcast at most; their hashed form takes some 32 bytes each.
-MOST_SENT = 4_000_000
+#: Rows of one or two numbers that are broadcast at most; their hashed form takes some 50 bytes each.
+MOST_SENT = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,8 +49,8 @@ def forget(df: DataFrame) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def only(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """The rows whose ``key`` is in ``keys``. Up to ``MOST_SENT`` keys go to the rows; more than that, and both are
+def only(rows: DataFrame, keys: DataFrame, key: str | list[str]) -> DataFrame:
+    """The rows whose ``key`` (numbers) is in ``keys``. Up to ``MOST_SENT`` keys go to the rows; more than that, and both are
     dealt by key."""
     if keys.count() <= MOST_SENT:
         keys = broadcast(keys)
