@@ -7,8 +7,6 @@ and lengths that can't reach the threshold never get to the fuzzy function.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -216,12 +214,18 @@ def relative_y(page: DataFrame) -> DataFrame:
 
 
 def detect_country(texts: DataFrame, packs: DataFrame, fallback: str = "zz") -> DataFrame:
-    """``doc_id, country, hits``: the pack with most keywords in a document's text, the earliest on ties, the fallback
-    without any. ``packs(country, ord, keywords)`` are sent to every task; a keyword that folds like another counts too."""
-    body = normal(F.col("text"))
-    known = packs.select("country", "ord", F.transform("keywords", lambda k: normal(k)).alias("keys"))
-    hits = texts.select("doc_id", body.alias("t")).join(F.broadcast(known)).select("doc_id", "country", "ord", F.size(F.filter("keys", lambda k: F.contains("t", k))).alias("hits"))
-    best = hits.groupBy("doc_id").agg(F.max(F.struct("hits", (-F.col("ord")).alias("o"), "country")).alias("b"))
+    """``doc_id, country, hits``: the pack with most keywords in a text, the earliest on ties, the fallback
+    without any; a keyword that folds like another counts too. All ``packs(country, ord, keywords)`` are one row, which
+    is sent to every task, so that a text is read once, where it is, and its row is the result's."""
+    keys = F.transform("keywords", lambda k: normal(k)).alias("keys")
+    known = packs.agg(F.array_sort(F.collect_list(F.struct("ord", "country", keys))).alias("packs"))
+    rows = texts.select("doc_id", normal(F.col("text")).alias("t")).join(F.broadcast(known))
+
+    def hits(pack: Column) -> Column:
+        n = F.size(F.filter(pack["keys"], lambda k: F.contains(F.col("t"), k)))
+        return F.struct(n.alias("hits"), (-pack["ord"]).alias("o"), pack["country"].alias("country"))
+
+    best = rows.select("doc_id", F.array_max(F.transform("packs", hits)).alias("b"))
     return best.select("doc_id", F.when(F.col("b.hits") > 0, F.col("b.country")).otherwise(fallback).alias("country"), F.col("b.hits").alias("hits"))
 
 
@@ -232,8 +236,3 @@ def best_rotation(yields: DataFrame, enough: int = 150, floor: int = 40, factor:
     best = F.max(F.struct("chars", (-F.col("ord")).alias("o"), "rotation"))
     seen = yields.groupBy("doc_id").agg(F.coalesce(up, F.lit(0)).alias("up"), best.alias("b"))
     return seen.select("doc_id", F.when((F.col("up") < enough) & (F.col("b.chars") > F.greatest(F.lit(float(floor)), factor * F.col("up"))), F.col("b.rotation")).otherwise(0).alias("rotation"))
-
-
-def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Passes batches on: the place where a page reader (OCR, rendering) plugs in with ``mapInPandas``."""
-    yield from batches
