@@ -227,18 +227,6 @@ def cdc_diff(spark, sf_dir):
     return review.changes(fields, edits).select("doc_id", "field", "model_value", "corrected_value")
 
 
-@query(
-    _EDITS.replace("CAST(turn AS VARCHAR) AS field", "CAST(turn % 3 AS VARCHAR) AS field")
-    + r""", k AS (SELECT field, coalesce(left(model_value, 12), 'None') AS m, coalesce(left(corrected_value, 12), 'None') AS c, min(struct_pack(d := doc_id, o := turn)) AS place FROM e GROUP BY ALL)
-SELECT count(*) AS reviewed, count(*) FILTER (trim(regexp_replace(m, '\s+', ' ', 'g')) <> trim(regexp_replace(c, '\s+', ' ', 'g'))) AS wrong,
-  round(100 * CAST(count(*) FILTER (trim(regexp_replace(m, '\s+', ' ', 'g')) <> trim(regexp_replace(c, '\s+', ' ', 'g'))) AS DOUBLE) / count(*), 1) AS error_pct, count(DISTINCT place.d) AS docs_touched FROM k"""
-)
-def dedupe_corrections(spark, sf_dir):
-    rows = _edits(spark, sf_dir)
-    log = rows.select("doc_id", F.col("turn").alias("ord"), (F.col("turn") % 3).cast("string").alias("field"), F.left("value", F.lit(12)).alias("model_value"), F.left("new", F.lit(12)).alias("corrected_value"))
-    return review.corrections_quality(log)
-
-
 _WHITE = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 _WRONG = f"{_WHITE.format('m')} <> {_WHITE.format('c')}"
 
@@ -248,8 +236,8 @@ _WRONG = f"{_WHITE.format('m')} <> {_WHITE.format('c')}"
     + f""", k AS (SELECT field, coalesce(model_value, 'None') AS m, coalesce(corrected_value, 'None') AS c, min(struct_pack(d := doc_id, o := turn)) AS place FROM e GROUP BY ALL)
 SELECT count(*) AS reviewed, count(*) FILTER ({_WRONG}) AS wrong, round(100 * CAST(count(*) FILTER ({_WRONG}) AS DOUBLE) / count(*), 1) AS error_pct, count(DISTINCT place.d) AS docs_touched FROM k"""
 )
-def dedupe_corrections_whole(spark, sf_dir):
-    """``dedupe_corrections`` over whole values, as the log has them."""
+def dedupe_corrections(spark, sf_dir):
+    """Whole values, as the log has them."""
     return review.corrections_quality(_corrections(_edits(spark, sf_dir)))
 
 
@@ -412,18 +400,12 @@ def numeric_dates(spark, sf_dir):
     return _rendered(spark, sf_dir).select("o_orderkey", dates.digit_date(F.col("s"))[1].cast("string").alias("parsed"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 6 IN (1, 5) THEN strftime(o_orderdate, '%Y-%m-%d') WHEN o_orderkey % 6 = 2 THEN CASE WHEN year(o_orderdate) % 100 > 30 THEN '19' ELSE '20' END || strftime(o_orderdate, '%y-%m-%d') END AS found FROM orders WHERE o_orderkey % 6 IN (1, 2, 4, 5)")
-def dates_in_text(spark, sf_dir):
-    found = F.array_join(dates.dates_in_text(F.col("s")), ",")
-    return _rendered(spark, sf_dir).where(F.col("o_orderkey") % 6 != 0).where(F.col("o_orderkey") % 6 != 3).select("o_orderkey", F.nullif(found, F.lit("")).alias("found"))
-
-
 _YEAR_FIRST = "strftime(try_strptime(CASE WHEN day(o_orderdate) > 30 THEN '19' ELSE '20' END || strftime(o_orderdate, '%d-%m-') || strftime(o_orderdate, '%y'), '%Y-%m-%d'), '%Y-%m-%d')"
 
 
 @query(f"SELECT o_orderkey, CASE WHEN o_orderkey % 6 IN (0, 3) THEN {_YEAR_FIRST} WHEN o_orderkey % 6 IN (1, 5) THEN strftime(o_orderdate, '%Y-%m-%d') WHEN o_orderkey % 6 = 2 THEN CASE WHEN year(o_orderdate) % 100 > 30 THEN '19' ELSE '20' END || strftime(o_orderdate, '%y-%m-%d') END AS found FROM orders")
-def dates_in_text_all(spark, sf_dir):
-    """``dates_in_text`` over every order: where a year comes first, its last two digits are read as a day."""
+def dates_in_text(spark, sf_dir):
+    """Every order: where a year comes first, its last two digits are read as a day."""
     found = F.array_join(dates.dates_in_text(F.col("s")), ",")
     return _rendered(spark, sf_dir).select("o_orderkey", F.nullif(found, F.lit("")).alias("found"))
 
