@@ -106,9 +106,12 @@ def test_profile_by_counting():
         for i in range(len(padded) - n + 1):
             if n > 1 or padded[i] != " ":
                 want[padded[i : i + n]] += 1
-    got = language_id.grams(text)
-    assert len(got) == sum(want.values()) and len(set(got.tolist())) == len(want)
-    assert list(language_id.profile(got, 4)) == list(language_id.profile(got))[:4]
+    kinds, counts = language_id.counted(text)
+    assert counts.sum() == sum(want.values()) and sorted(counts) == sorted(want.values())
+    assert list(language_id.profile(kinds, counts, 4)) == list(language_id.profile(kinds, counts))[:4]
+    for most in (1, 2, 3, 5):  # windows that cut words and gaps
+        for t in (text, " ..ab  ab, ba..", "a", "..", ""):
+            assert [list(x) for x in language_id.counted(t, most)] == [list(x) for x in language_id.counted(t)]
 
 
 def test_language_of_odd_rows(spark):

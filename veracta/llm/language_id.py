@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import textbatch as tb
 
-LENGTH, MOST_TRAIN, LONGEST = 300, 20_000, 3
+LENGTH, MOST_TRAIN, LONGEST, WINDOW = 300, 20_000, 3, 1 << 18
 UNKNOWN = "und"
 
 
@@ -41,27 +41,40 @@ def _alphabet() -> np.ndarray:
     return out
 
 
-def grams(text: str) -> np.ndarray:
-    """Hashes of all n-grams of ``text``, each as often as it occurs."""
-    points = _alphabet()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-    points = np.concatenate([[np.uint32(0x20)], points, [np.uint32(0x20)]])
-    gap = points == 0x20
-    points = points[~(gap & np.append(False, gap[:-1]))]  # one space between words
-    if len(points) < 3:
-        return np.zeros(0, np.uint32)
-    out, rolled = [], np.zeros(len(points), np.uint32)
-    for n in range(1, LONGEST + 1):
-        rolled = rolled[: len(points) - n + 1] * np.uint32(0x01000193) + (points[n - 1 :] + np.uint32(n)) * np.uint32(0x9E3779B1)
-        own = rolled ^ (rolled >> np.uint32(15))
-        out.append(own[points[: len(own)] != 0x20] if n == 1 else own)
-    return np.concatenate(out)
+def grams(text: str, most: int = WINDOW) -> Iterator[np.ndarray]:
+    """Hashes of all n-grams of ``text``, each as often as it occurs, from ``most`` characters at a time."""
+    held, known = np.array([0x20], np.uint32), 0  # points carried over; how many of them have been counted
+    for lo in range(0, len(text), most):
+        points = _alphabet()[np.frombuffer(text[lo : lo + most].encode("utf-32-le", "surrogatepass"), np.uint32)]
+        points = np.concatenate([held, points, np.full(int(lo + most >= len(text)), 0x20, np.uint32)])
+        gap = points == 0x20
+        points = points[~(gap & np.append(False, gap[:-1]))]  # one space between words
+        rolled = np.zeros(len(points), np.uint32)
+        for n in range(1, min(LONGEST, len(points)) + 1):
+            rolled = rolled[: len(points) - n + 1] * np.uint32(0x01000193) + (points[n - 1 :] + np.uint32(n)) * np.uint32(0x9E3779B1)
+            own = (rolled ^ (rolled >> np.uint32(15)))[max(0, known - n + 1) :]
+            yield own[points[known:] != 0x20] if n == 1 else own
+        held, known = points[1 - LONGEST :], min(LONGEST - 1, len(points))
 
 
-def profile(found: np.ndarray, length: int = LENGTH) -> np.ndarray:
+def counted(text: str, most: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of ``text`` and how often each occurs; memory grows with their kinds, not with the text."""
+    if len(text) <= most:
+        return np.unique(np.concatenate([np.zeros(0, np.uint32), *grams(text, most)]), return_counts=True)
+    kinds, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    for found in grams(text, most):
+        kinds, counts = added([(kinds, counts), np.unique(found, return_counts=True)])
+    return kinds, counts
+
+
+def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Several counts as one."""
+    kinds, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return kinds, tb.totals(np.concatenate([c for _, c in parts]), back, len(kinds))
+
+
+def profile(kinds: np.ndarray, counts: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """The most frequent n-grams, most frequent first; ties by hash."""
-    found = np.sort(found)
-    at = np.flatnonzero(np.append(True, found[1:] != found[:-1])) if len(found) else np.zeros(0, np.int64)
-    kinds, counts = found[at], np.diff(np.append(at, len(found)))
     if len(counts) > length:  # no kind rarer than the last that fits can be in
         least = np.partition(counts, len(counts) - length)[len(counts) - length]
         kinds, counts = kinds[counts >= least], counts[counts >= least]
@@ -88,7 +101,7 @@ class Profiles:
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """Language, score (1 less the distance), and how much nearer it is than the second, as a share of the second."""
-        own = profile(grams(text), self.length) if text else []
+        own = profile(*counted(text), self.length) if text else []
         if not len(own) or not self.langs:
             return UNKNOWN, 0.0, 0.0
         far = self.distances(own)
@@ -114,7 +127,7 @@ def learn(docs: DataFrame, most_train: int = MOST_TRAIN, length: int = LENGTH) -
         sums: dict[str, list] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                kinds, counts = np.unique(grams(text), return_counts=True)
+                kinds, counts = counted(text)
                 own = sums.setdefault(lang, [])
                 own.append((kinds, counts))
                 if sum(len(k) for k, _ in own) > 2_000_000:
@@ -123,10 +136,6 @@ def learn(docs: DataFrame, most_train: int = MOST_TRAIN, length: int = LENGTH) -
             kinds, counts = added(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(kinds)), pa.array(kinds.astype(np.int64)), pa.array(counts.astype(np.int64))], names=["lang", "kind", "n"])
 
-    def added(parts: list) -> tuple[np.ndarray, np.ndarray]:
-        kinds, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-        return kinds, tb.totals(np.concatenate([c for _, c in parts]), back, len(kinds))
-
     summed = rows.where((F.col("h") <= bound) & F.col("text").isNotNull()).select("lang", "text").mapInArrow(count, "lang string, kind long, n long").groupBy("lang", "kind").agg(F.sum("n").alias("n"))
     top = summed.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "kind"))).where(F.col("place") <= length)
     ranked: dict[str, list] = {}

@@ -38,8 +38,14 @@ def repeated(values: np.ndarray, doc: np.ndarray, earlier: bool = False) -> np.n
     out = np.zeros(len(values), bool)
     if not len(values):
         return out
-    order = np.lexsort((values, doc))  # stable: equal values stay in their order
-    same = (values[order][1:] == values[order][:-1]) & (doc[order][1:] == doc[order][:-1])
+    # stable: equal values stay in their order
+    one = doc[0] == doc[-1]
+    order = np.argsort(values, kind="stable") if one else np.lexsort((values, doc))
+    ordered = values[order]
+    same = ordered[1:] == ordered[:-1]
+    if not one:
+        ordered = doc[order]
+        same &= ordered[1:] == ordered[:-1]
     out[order[1:]] |= same
     if not earlier:
         out[order[:-1]] |= same
@@ -57,10 +63,10 @@ def covered(hashed: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
 
 
 def measures(texts: tb.Texts) -> dict[str, np.ndarray]:
-    n, points = len(texts), tb.characters(texts)
+    n = len(texts)
     words = tb.words(texts)
     hashed = tb.hashes(texts, words)
-    size = points[words.end] - points[words.start]
+    size = tb.characters(texts, words.end) - tb.characters(texts, words.start)
     out = {"n_words": np.bincount(words.doc, minlength=n), "word_chars": tb.totals(size, words.doc, n)}
     at = np.flatnonzero(_SYMBOL[texts.data])
     out["n_symbols"] = np.bincount(np.searchsorted(texts.bounds, at, "right") - 1, minlength=n)
@@ -69,7 +75,7 @@ def measures(texts: tb.Texts) -> dict[str, np.ndarray]:
     # a line with a word: one whose bytes hold the start of a word
     has = np.searchsorted(words.start, lines.start) < np.searchsorted(words.start, lines.end)
     lines = tb.Spans(lines.start[has], lines.end[has], lines.doc[has])
-    line_size = points[lines.end] - points[lines.start]
+    line_size = tb.characters(texts, lines.end) - tb.characters(texts, lines.start)
     again = repeated(tb.hashes(texts, lines), lines.doc, earlier=True)
     out["n_dup_lines"] = np.bincount(lines.doc[again], minlength=n)
     whole = np.maximum(tb.totals(line_size, lines.doc, n), 1)

@@ -32,18 +32,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * _GOLD)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
+WINDOW = 1 << 16
+"""Bytes whose prefix sums are in memory at once, however long the text."""
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, for at least ``n`` places."""
-    if len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 4096)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            grown = np.full(size, base, np.uint64)
-            grown[0] = 1
-            _powers[k] = np.multiply.accumulate(grown)
-    return _powers[0], _powers[1]
+
+def _powers(base: int) -> np.ndarray:
+    out = np.full(WINDOW + 1, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_POWERS, _INVERSES = _powers(_BASE), _powers(_INVERSE)
 
 
 @dataclass
@@ -86,25 +86,45 @@ def slices(column: pa.Array | pa.ChunkedArray, most: int = SLICE_BYTES) -> Itera
 def runs(inside: np.ndarray, texts: Texts) -> Spans:
     """The longest runs of bytes for which ``inside`` holds, none of them across two texts."""
     n = len(inside)
-    first, last = inside.copy(), inside.copy()
-    if n:
-        edges = texts.bounds[1:-1]
-        edges = edges[(edges > 0) & (edges < n)]
-        before, after = inside[:-1].copy(), inside[1:].copy()
-        before[edges - 1] = False
-        after[edges - 1] = False
-        first[1:] &= ~before
-        last[:-1] &= ~after
-    start = np.flatnonzero(first)
-    return Spans(start, np.flatnonzero(last) + 1, np.searchsorted(texts.bounds, start, "right") - 1)
+    if not n:
+        return Spans(*(np.zeros(0, np.int64) for _ in range(3)))
+    edges = np.unique(texts.bounds[1:-1])
+    edges = edges[(edges > 0) & (edges < n)]
+    edges = edges[inside[edges - 1] & inside[edges]]  # where a text ends inside a run
+    start = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
+    end = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
+    start = np.concatenate([np.zeros(int(inside[0]), np.int64), start, edges])
+    end = np.concatenate([end, np.full(int(inside[-1]), n), edges])
+    if len(edges):
+        start.sort()
+        end.sort()
+    return Spans(start, end, np.searchsorted(texts.bounds, start, "right") - 1)
+
+
+def _windows(n: int, at: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Where each window of ``n`` bytes begins, and which of the ascending places ``at`` are in it."""
+    for a in range(0, n + 1, WINDOW):
+        yield a, slice(*np.searchsorted(at, [a, a + WINDOW]))
 
 
 def hashes(texts: Texts, spans: Spans, table: np.ndarray = _BYTES) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, the same wherever those bytes stand."""
-    powers, inverses = _tables(len(texts.data) + 1)
-    total = np.zeros(len(texts.data) + 1, np.uint64)
-    np.cumsum(table[texts.data] * powers[: len(texts.data)], out=total[1:])
-    return mix((total[spans.end] - total[spans.start]) * inverses[spans.start] + (spans.end - spans.start).astype(np.uint64) * _GOLD)
+    """A 64-bit hash of each span's bytes, the same wherever those bytes stand. Starts and ends ascend."""
+    n, out = len(texts.data), np.zeros(len(spans.start), np.uint64)
+    before, power, inverse = 0, 1, 1  # up to the window: the sum, and the powers there
+    begins = _windows(n, spans.start)
+    back = np.zeros(len(spans.start), np.uint64)
+    for a, ending in _windows(n, spans.end):
+        _, beginning = next(begins)
+        block = texts.data[a : a + WINDOW]
+        total = np.zeros(len(block) + 1, np.uint64)
+        np.cumsum(table[block] * _POWERS[: len(block)], out=total[1:])
+        total = total * np.uint64(power) + np.uint64(before)
+        out[beginning] -= total[spans.start[beginning] - a]
+        out[ending] += total[spans.end[ending] - a]
+        back[beginning] = _INVERSES[spans.start[beginning] - a] * np.uint64(inverse)
+        before = int(total[-1])
+        power, inverse = power * int(_POWERS[-1]) % (1 << 64), inverse * int(_INVERSES[-1]) % (1 << 64)
+    return mix(out * back + (spans.end - spans.start).astype(np.uint64) * _GOLD)
 
 
 def words(texts: Texts) -> Spans:
@@ -123,10 +143,13 @@ def ngrams(hashed: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.
     return mix(out[at] + np.uint64(n)), at
 
 
-def characters(texts: Texts) -> np.ndarray:
-    """How many code points begin before each byte."""
-    out = np.zeros(len(texts.data) + 1, np.int64)
-    np.cumsum((texts.data & 0xC0) != 0x80, out=out[1:])
+def characters(texts: Texts, at: np.ndarray) -> np.ndarray:
+    """How many code points begin before each of the ascending places ``at``."""
+    out, before = np.zeros(len(at), np.int64), 0
+    for a, here in _windows(len(texts.data), at):
+        total = np.append(0, np.cumsum((texts.data[a : a + WINDOW] & 0xC0) != 0x80))
+        out[here] = before + total[at[here] - a]
+        before += int(total[-1])
     return out
 
 
