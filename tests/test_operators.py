@@ -1,4 +1,5 @@
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -229,6 +230,27 @@ def test_form_column_keeps_one_copy(spark):
     assert rows(got.groupBy("doc_id", "x").count()) == [("d", 800, 4), ("e", 10, 4)]
 
 
+
+def test_fitted_line_does_not_depend_on_the_order_of_rows(spark):
+    rng = random.Random(5)
+    points = [(rng.randint(90_000, 10_500_000) / 100, float(rng.randint(1, 50))) for _ in range(38)]
+    rows = [(doc, y, x) for doc in range(60) for y, x in rng.sample(points, len(points))]
+    a = spark.createDataFrame([(d, y, x, y, x) for d, y, x in rows], "doc_id int, y double, rel_y double, x double, h double").repartition(7)
+    found = {(r.slope, r.intercept, r.residual) for r in layout.fit(a).collect()}
+    x, y = [Fraction(str(p[1])) for p in points], [Fraction(str(p[0])) for p in points]
+    mx, my = sum(x) / 38, sum(y) / 38
+    slope = sum((u - mx) * (v - my) for u, v in zip(x, y, strict=True)) / sum((u - mx) ** 2 for u in x)
+    away = sorted(abs(slope * u + my - slope * mx - v) for u, v in zip(x, y, strict=True))
+    assert len(found) == 1 and found.pop() == pytest.approx((float(slope), float(my - slope * mx), float((away[18] + away[19]) / 2)), rel=1e-15)
+
+
+def test_line_without_a_slope(spark):
+    rows = [(1, 5.0, 2.0), (2, 5.0, 0.1), (2, 6.0, 0.1), (2, 9.0, 0.1), (3, None, 1.0), (3, 4.0, None), (None, 1.0, 1.0), (4, 1.0, 1.0), (4, 3.0, 2.0), (4, None, 5.0)]
+    a = spark.createDataFrame([(d, y, x, y, x) for d, y, x in rows], "doc_id int, y double, rel_y double, x double, h double")
+    got = {r.doc_id: (r.slope, r.intercept, r.points, r.n_found, r.residual) for r in layout.fit(a).collect()}
+    assert got == {1: (None, None, 1, 1, 0.0), 2: (None, None, 3, 3, 0.0), 3: (None, None, 1, 2, 0.0), 4: (2.0, -1.0, 3, 3, 0.0)}
+
+
 def test_fit_interpolation_and_boxes(spark):
     a = spark.createDataFrame([("d", "a", 100, 100, 50, 20, 0.1), ("d", "b", 104, 200, 50, 20, 0.2), ("d", "c", 102, 300, 50, 20, 0.3)], "doc_id string, id string, x int, y int, w int, h int, rel_y double")
     line = layout.fit(a)

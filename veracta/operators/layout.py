@@ -7,9 +7,14 @@ and lengths that can't reach the threshold never get to the fuzzy function.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.fuzzy import can_reach, similarity
 from ..functions.text import normal
@@ -140,14 +145,49 @@ def in_order(anchors: DataFrame, least: int = 3) -> DataFrame:
     return anchors.groupBy("doc_id").applyInPandas(keep, anchors.schema)
 
 
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Least squares and the median residual of each row's ``pairs``, in extended precision, rounded once at the end."""
+    for batch in batches:
+        lists, n_rows = batch.column("pairs"), batch.num_rows
+        pairs, group = lists.flatten(), np.repeat(np.arange(n_rows), np.diff(lists.offsets.to_numpy()))
+        x, y = (pairs.field(k).to_numpy(zero_copy_only=False).astype(np.longdouble) for k in (0, 1))
+        n = np.bincount(group, minlength=n_rows)
+        own = np.flatnonzero(n)
+        first = (np.cumsum(n) - n)[own]
+        out = np.zeros((3, n_rows))
+        known = np.zeros(n_rows, bool)
+        if len(own):
+            at, count = np.repeat(np.arange(len(own)), n[own]), n[own]
+            mx, my = (np.add.reduceat(v, first) / count for v in (x, y))
+            dx, dy = x - mx[at], y - my[at]
+            known[own] = np.minimum.reduceat(x, first) != np.maximum.reduceat(x, first)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                slope = np.add.reduceat(dx * dy, first) / np.add.reduceat(dx * dx, first)
+                start = my - slope * mx
+                away = np.abs(slope[at] * x + start[at] - y)
+            away = away[np.lexsort((away, at))]
+            middle = (away[first + (count - 1) // 2] + away[first + count // 2]) / 2
+            out[:, own] = slope, start, middle
+        cols = [pa.array(v, pa.float64(), mask=~known) for v in out]
+        names = [k for k in batch.schema.names if k != "pairs"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), *cols], names=[*names, "slope", "intercept", "residual"])
+
+
 def fit(anchors: DataFrame) -> DataFrame:
-    """For each document: the line ``y = slope * rel_y + intercept``, its median residual, and the anchors' medians."""
-    line = anchors.groupBy("doc_id").agg(
-        F.regr_slope("y", "rel_y").alias("slope"), F.regr_intercept("y", "rel_y").alias("intercept"), F.count("rel_y").alias("points"), F.count("*").alias("n_found"),
+    """For each document: the line ``y = slope * rel_y + intercept``, its median residual, and the anchors' medians.
+
+    Sums of doubles depend on the order in which tasks deliver them, which shows where a result is to be rounded; these
+    don't. A document is one list, as long as a page has anchors.
+    """
+    pair = F.struct(F.col("rel_y").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    pairs = F.sort_array(F.collect_list(F.when(F.col("rel_y").isNotNull() & F.col("y").isNotNull(), pair))).alias("pairs")
+    rows = anchors.where("doc_id is not null").groupBy("doc_id").agg(
+        pairs, F.count("rel_y").alias("points"), F.count("*").alias("n_found"),
         F.percentile("x", F.lit(0.2)).cast("int").alias("left"), F.median("h").alias("median_h"),
     )
-    apart = anchors.join(line.select("doc_id", "slope", "intercept"), "doc_id").groupBy("doc_id").agg(F.median(F.abs(F.col("slope") * F.col("rel_y") + F.col("intercept") - F.col("y"))).alias("residual"))
-    return line.join(apart, "doc_id").withColumn("residual", F.when(F.col("points") >= 3, F.coalesce("residual", F.lit(0.0))).otherwise(0.0))
+    schema = StructType([f for f in rows.schema if f.name != "pairs"] + [StructField(k, DoubleType()) for k in ("slope", "intercept", "residual")])
+    line = rows.mapInArrow(_lines, schema).withColumn("residual", F.when(F.col("points") >= 3, F.coalesce("residual", F.lit(0.0))).otherwise(0.0))
+    return line.select("doc_id", "slope", "intercept", "points", "n_found", "left", "median_h", "residual")
 
 
 def interpolated(anchors: DataFrame, template: DataFrame, fitted: DataFrame) -> DataFrame:
