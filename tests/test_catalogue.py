@@ -84,3 +84,17 @@ def test_corrections_that_differ_late_are_two(spark):
     rows = spark.createDataFrame([(1, 1, "the same first words a", "the same first words b"), (2, 1, "the same first words a", "the same first words c")], "doc_id int, turn int, value string, new string")
     got = review.corrections_quality(catalogue._corrections(rows)).first()
     assert (got.reviewed, got.wrong, got.docs_touched) == (2, 2, 2)
+
+
+def test_uploads_at_one_time_in_any_order_of_rows(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    t = dt.datetime(2024, 1, 1)
+    events = [(i, t, i, "signup") for i in range(40)] + [(100 + 1000 * k + i, t + dt.timedelta(minutes=5), i, "click") for i in range(40) for k in (0, 1, 2, 10)]
+    events = spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string")
+    for name, order in (("up", "event_id"), ("down", F.desc("event_id")), ("mixed", F.xxhash64("event_id"))):
+        events.coalesce(1).sortWithinPartitions(order).write.parquet(f"{tmp_path}/{name}/events.parquet")
+        got = {r.sid: r.job_id for r in catalogue.QUERIES["session_ttl"](spark, f"{tmp_path}/{name}").collect()}
+        assert got == {str(i): str(100 + i) for i in range(40)}, name
+    con = duckdb.connect()
+    con.execute(f"set threads = 1; create view events as select * from '{tmp_path}/up/events.parquet/*.parquet'")
+    assert {r[0]: r[3] for r in con.execute(catalogue.ORACLE_SQL["session_ttl"]).fetchall()} == got

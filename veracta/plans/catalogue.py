@@ -652,8 +652,9 @@ SELECT CAST(c.user_id AS VARCHAR) AS sid, epoch_ms(created) // 1000 AS created,
 )
 def session_ttl(spark, sf_dir):
     e = table(spark, sf_dir, "events").where(F.col("event_type").isin("signup", "click"))
-    rows = e.select(F.col("user_id").cast("string").alias("sid"), F.when(F.col("event_type") == "signup", "create").otherwise("upload").alias("kind"), F.col("event_id").cast("string").alias("job_id"), F.col("ts").cast("timestamp").alias("ts"))
-    return states.sessions_batch(rows).select("sid", F.unix_seconds("created").alias("created"), F.unix_seconds("closed").alias("closed"), "job_id")
+    rows = e.select(F.col("user_id").cast("string").alias("sid"), F.when(F.col("event_type") == "signup", "create").otherwise("upload").alias("kind"), F.col("event_id").cast("string").alias("job_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    # the SQL's arg_max keeps the first row of a tie, and a table's rows stand by event_id
+    return states.sessions_batch(rows, tie="event_id").select("sid", F.unix_seconds("created").alias("created"), F.unix_seconds("closed").alias("closed"), "job_id")
 
 
 @query("WITH m AS (SELECT max(ts) - INTERVAL 1 HOUR AS now FROM events) SELECT arg_max(CAST(user_id AS VARCHAR), struct_pack(t := ts, u := CAST(user_id AS VARCHAR))) AS sid, epoch_ms(max(ts)) // 1000 AS at FROM events, m WHERE event_type = 'click' AND ts <= now AND ts >= now - INTERVAL 30 MINUTE")

@@ -61,13 +61,14 @@ def sessions(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return rows.applyInPandasWithState(_session, SESSION, _SESSION_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def sessions_batch(events: DataFrame) -> DataFrame:
-    """The same over a table: creation, end, and the latest upload within the session."""
+def sessions_batch(events: DataFrame, tie: str = "job_id") -> DataFrame:
+    """The same over a table: creation, end, and the latest upload within the session; of several at that time, the one
+    with the least ``tie``, in whatever order the rows come (the stream keeps the one that comes last)."""
     created = events.where("kind = 'create'").groupBy("sid").agg(F.min("ts").alias("created"))
     closed = F.col("created") + F.expr(f"interval {TTL}")
-    ups = events.where("kind = 'upload'").select("sid", "job_id", F.col("ts").alias("at"))
+    ups = events.where("kind = 'upload'").select("sid", "job_id", F.col("ts").alias("at"), F.struct((-F.unix_micros(F.col("ts").cast("timestamp"))).alias("back"), F.col(tie).alias("tie")).alias("rank"))
     own = created.join(ups, "sid", "left").where((F.col("at") <= closed) | F.col("at").isNull() | (F.col("at") > closed))
-    return own.groupBy("sid", "created").agg(F.max_by("job_id", F.when(F.col("at") <= closed, F.col("at"))).alias("job_id")).select("sid", "created", closed.alias("closed"), "job_id", F.lit("expired").alias("reason"))
+    return own.groupBy("sid", "created").agg(F.min_by("job_id", F.when(F.col("at") <= closed, F.col("rank"))).alias("job_id")).select("sid", "created", closed.alias("closed"), "job_id", F.lit("expired").alias("reason"))
 
 
 def latest_recent(events: DataFrame, now, window: str = RECENT) -> DataFrame:
