@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import forget, materialise
 
 WEIGHTS, BLOCK, MOST, SHARD_SLOTS, MOST_SHARDS, LANES, CELLS = (5, 2, 1), 32, 3, 256, 4096, 1024, 1024
 #: Primes above a number of blocks have no factor in common with it, so that steps of one visit every block once. Fixed values.
@@ -109,7 +109,7 @@ def mixed(docs: DataFrame, weights=WEIGHTS, seed: int = 20_24, block: int = BLOC
     """``doc_id, size, source_size, target, taken`` and ``source, tie`` for each row of ``docs``."""
     sized = materialise(sizes(docs), "sizes")
     goal = materialise(targets(sized, weights, most), "targets")
-    uses = slots(goal, seed, block, most)
+    uses = materialise(slots(goal, seed, block, most), "uses")
     # where each document begins: within its lane, and where its lane begins
     lane = Window.partitionBy("source", "lane").orderBy("tie", "doc_id", "size")
     placed = sized.withColumn("place", F.row_number().over(lane)).withColumn("before", F.coalesce(F.sum("size").over(lane.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -123,7 +123,8 @@ def mixed(docs: DataFrame, weights=WEIGHTS, seed: int = 20_24, block: int = BLOC
     reach = reach.select("source", "lane", "place", "index", part.alias("part"))
     uses = uses.select(F.col("source").alias("s2"), F.col("index").alias("i2"), "uses")
     took = reach.join(uses, F.col("source").eqNullSafe(F.col("s2")) & (F.col("index") == F.col("i2"))).groupBy("source", "lane", "place").agg(F.sum(F.col("part") * F.col("uses")).alias("taken"))
-    took = took.select(F.col("source").alias("s2"), F.col("lane").alias("l2"), F.col("place").alias("p2"), "taken")
+    took = materialise(took, "took").select(F.col("source").alias("s2"), F.col("lane").alias("l2"), F.col("place").alias("p2"), "taken")
+    forget(uses)
     same = F.col("source").eqNullSafe(F.col("s2")) & (F.col("lane") == F.col("l2")) & (F.col("place") == F.col("p2"))
     goal = goal.select(F.col("source").alias("s3"), "source_size", "target")
     out = placed.join(took, same, "left").join(goal, F.col("source").eqNullSafe(F.col("s3")))

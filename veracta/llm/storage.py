@@ -10,6 +10,8 @@ from pyspark.sql.functions import broadcast
 
 #: Rows of one or two numbers that are broadcast at most; their hashed form takes some 50 bytes each.
 MOST_SENT = 2_000_000
+#: Of the driver's largest heap, what may be taken up when a table has been written.
+HELD = 0.4
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,11 +28,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def relieve(spark: SparkSession, held: float = HELD) -> bool:
+    """Collect the driver's garbage if its heap has grown beyond ``held`` of the most that it may take, and say whether.
+
+    A heap grows while many tasks report and gives nothing back by itself until long after, and the shuffle files and
+    broadcasts of finished jobs stay until a collection finds that nothing holds them.
+    """
+    heap = spark._jvm.java.lang.Runtime.getRuntime()
+    full = heap.totalMemory() > held * heap.maxMemory()
+    if full:
+        spark._jvm.java.lang.System.gc()
+    return full
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back.
 
-    That cuts the lineage, survives a lost executor, and lets later reads take
-    only the columns they need. The files go when the driver ends.
+    That cuts the lineage, survives a lost executor, lets later reads take
+    only the columns they need, and lets the driver drop what it held for the
+    job. The files go when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -38,6 +54,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    relieve(spark)
     return spark.read.parquet(path)
 
 
