@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from veracta.llm import media as M
@@ -84,6 +85,41 @@ def test_candidates_are_those_of_all_pairs(spark, block):
     assert all(c % 100 == i % 100 for i, c in got.items())
 
 
+def test_a_pair_of_blocks_joins_what_every_pair_would():
+    """Its links give the classes of comparing all that share a key, whatever the order of rows, and none more than it takes."""
+    rng, own = np.random.default_rng(4), images(5, 61)
+    made = own + [np.clip(a + rng.normal(0, 8, a.shape), 0, 255) for _ in range(5) for a in own]
+    described = [M.describe(M.decode(M.pgm(a))) for a in made]
+    keyed = [M.keys(*d).view(np.int64) for d in described]
+    columns = {"rep": list(range(30)), "block": [k % 2 for k in range(30)], "keys": keyed, "x": [0] * 30, "y": [1] * 30}
+    columns |= {"places": [d[0].astype("<f4").tobytes() for d in described], "tests": [d[1].astype("<u4").tobytes() for d in described]}
+    table = pa.table(columns, schema=pa.schema([("rep", pa.int64()), ("block", pa.int32()), ("keys", pa.list_(pa.int64())), ("x", pa.int32()), ("y", pa.int32()), ("places", pa.binary()), ("tests", pa.binary())]))
+    for order in (np.arange(30), rng.permutation(30)):
+        got = M._joined(M.INLIERS)(table.take(pa.array(order)))
+        pairs = list(zip(got["a"].to_pylist(), got["b"].to_pylist(), strict=True))
+        assert len(pairs) == 25 and all(a < b and a % 5 == b % 5 and a % 2 != b % 2 for a, b in pairs)
+
+
+def test_what_moves_is_bounded_by_the_images(spark, monkeypatch):
+    """Images that share a key with many others move to a pair of blocks once, and no more in a turn than the images take, some times."""
+    own = images(4, 71)
+    rng = np.random.default_rng(8)
+    rows = [(100 * n + k, M.pgm(np.clip(a + rng.normal(0, 6, a.shape), 0, 255))) for n in range(6) for k, a in enumerate(own)]
+    names, write = [], M.materialise
+    monkeypatch.setattr(M, "materialise", lambda df, name: names.append(name) or write(df, name))
+    monkeypatch.setattr(M, "TURN_BYTES", 1)
+    got = {r.media_id: r.class_id for r in M.media_copies(spark.createDataFrame(rows, "media_id long, content binary"), block=6).collect()}
+    assert all(c == i % 100 for i, c in got.items()) and len(got) == 24
+    assert names.count("media-links") > 1
+
+
+def test_spots_of_a_large_picture_stay_apart():
+    """Six places that differ by one spot each, far from the left edge, in 32-bit numbers as the tables hold them."""
+    at = np.array([[6100 + 3, 6 * k + 3, 1, 0] for k in range(12)], np.float32)
+    tests = np.random.default_rng(2).integers(0, 1 << 32, (12, M.WORDS), dtype=np.uint64).astype(np.uint32)
+    assert M.consensus(at, tests, at, tests) == 12
+
+
 def test_classes(spark):
     rows = []
     for k, a in enumerate(images()):

@@ -13,10 +13,12 @@ key of one corner; they rarely do in two that also lie alike. The matches of two
 images count if one similarity transform (from one match's places, scales and
 orientations) brings enough others into place.
 
-Equal bytes share one representative first. A table's bucket is compared with
-one leader, the image that meets most others, which costs one row for each
-member. What a leader's members of several classes may still have in common is
-looked at in pairs of blocks, as for near-duplicate texts.
+Equal bytes share one representative first. Images that share a key with another
+are dealt into blocks, and all that share one are compared a pair of blocks at a
+time, but for those that its links have joined already. An image goes to a pair
+of blocks once, however many images of it share its keys, and only if one does;
+no pairs of images are written. The pairs of blocks take turns, so that one
+turn's shuffle is about what the images take.
 
 A null or undecodable content, or one without corners, is in a class of its
 own (undecodable equal bytes: of one class). Repeated rows stay, extra columns
@@ -31,12 +33,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .dealing import across_blocks
 from .graph import components
-from .storage import forget, materialise, only
+from .storage import forget, materialise, only, relieve
 from .textbatch import mix
 
 #: ``CORNERS`` are for each cell of at most ``GRID`` by ``GRID`` pixels.
@@ -45,8 +46,10 @@ SCALES, CORNERS, GRID, BITS, WORDS = (1.0, 1.13, 1.28, 1.44, 1.63, 1.84, 2.07),
 MARGIN, NEAR_BITS, INLIERS, REACH, TURN, SIZE, SPOT = 8, 40, 6, 3.0, 0.5, 1.3, 6
 #: Of a key: tests of each of two corners, tables, neighbours of a corner, how near and far they are in pixels of their scale, directions, ratio of distances.
 SAMPLED, TABLES, NEIGHBOURS, NEAREST, FARTHEST, SECTORS, RATIO = 24, 2, 3, 4.0, 60.0, 8, 1.6
-#: What one side of a pair of blocks holds on average, at most: images, and corners of theirs.
-BLOCK_IMAGES, BLOCK_CORNERS = 256, 1 << 15
+#: What one side of a pair of blocks holds on average, at most: images, and corners of theirs. Blocks there are if images allow, and images of the smallest.
+BLOCK_IMAGES, BLOCK_CORNERS, BLOCKS, LEAST_IMAGES = 8192, 1 << 19, 8, 64
+#: Bytes that one turn of pairs of blocks moves: as many times what the images take, or these if that is less.
+TURN_SHARE, TURN_BYTES = 2, 1 << 28
 
 
 def _tests(n: int, least: float = 7.0) -> np.ndarray:
@@ -178,15 +181,20 @@ def keys(places: np.ndarray, tests: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def consensus(a: np.ndarray, da: np.ndarray, b: np.ndarray, db: np.ndarray) -> int:
-    """The most places in ``a`` with a corner that one similarity transform takes to its match in ``b``."""
+def consensus(a: np.ndarray, da: np.ndarray, b: np.ndarray, db: np.ndarray, least: int = 1) -> int:
+    """The most places in ``a`` with a corner that one similarity transform takes to its match in ``b``; of less than ``least``, 0."""
     if not len(a) or not len(b):
         return 0
-    near, j = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+    near, j = np.full(len(a), BITS + 1), np.zeros(len(a), np.int64)
+    da, db = (np.ascontiguousarray(x).view("<u8") for x in (da, db))
+    differ = lambda x, k: np.bitwise_count(x[:, None, k] ^ db[None, :, k])
     step = max(1, (1 << 20) // len(b))  # a few tens of MB at once, however many corners there are
     for lo in range(0, len(a), step):
-        away = np.bitwise_count(da[lo : lo + step, None, :] ^ db[None, :, :]).sum(-1)
-        j[lo : lo + step], near[lo : lo + step] = away.argmin(1), away.min(1)
+        half = differ(da[lo : lo + step], 0) + differ(da[lo : lo + step], 1)
+        some = np.flatnonzero((half <= NEAR_BITS).any(1))  # half of the tests leave few corners whose other half matters
+        away = half[some].astype(np.uint16) + differ(da[lo + some], 2) + differ(da[lo + some], 3)
+        if len(some):
+            j[lo + some], near[lo + some] = away.argmin(1), away.min(1)
     i = np.flatnonzero(near <= NEAR_BITS)
     if len(i) < INLIERS:
         return 0
@@ -194,8 +202,9 @@ def consensus(a: np.ndarray, da: np.ndarray, b: np.ndarray, db: np.ndarray) -> i
     size, turn = q[:, 2] / p[:, 2], q[:, 3] - p[:, 3]
     c, s = size * np.cos(turn), size * np.sin(turn)
     tx, ty = q[:, 0] - (c * p[:, 0] - s * p[:, 1]), q[:, 1] - (s * p[:, 0] + c * p[:, 1])
-    spot = np.floor(p[:, 0] / SPOT) * 1e6 + np.floor(p[:, 1] / SPOT)
-    most = 0
+    spot = np.floor(p[:, :2].astype(np.float64) / SPOT).astype(np.int64)  # 32-bit numbers would run spots of a large image together
+    spot = spot[:, 0] << 32 | spot[:, 1]
+    most = least - 1
     for lo in range(0, len(i), step):  # each match's transform, tried on every other match
         k = slice(lo, lo + step)
         x = c[k, None] * p[None, :, 0] - s[k, None] * p[None, :, 1] + tx[k, None]
@@ -209,7 +218,7 @@ def consensus(a: np.ndarray, da: np.ndarray, b: np.ndarray, db: np.ndarray) -> i
             if count[r] <= most:
                 break
             most = max(most, len(np.unique(spot[fits[r]])))
-    return most
+    return most if most >= least else 0
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,34 +251,96 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(np.concatenate(found).view(np.int64))], names=["rep", "key"])
 
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = [consensus(*_arrays(a, b), *_arrays(c, d)) for a, b, c, d in zip(*(batch.column(k) for k in ("ap", "at", "bp", "bt")), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.int64())], names=["a", "b", "inliers"])
-
-
-def _links(pairs: DataFrame, images: DataFrame, inliers: int) -> DataFrame:
-    for side in "ab":
-        pairs = pairs.join(images.select(F.col("rep").alias(side), F.col("places").alias(f"{side}p"), F.col("tests").alias(f"{side}t")), side)
-    return pairs.select("a", "b", "ap", "at", "bp", "bt").mapInArrow(_agreeing, "a long, b long, inliers long").where(F.col("inliers") >= inliers).select("a", "b")
+def _sharing(keys: np.ndarray, row: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which rows of ``left`` share a key with which of ``right``; ``row`` has each key's row."""
+    at = np.full(max(left.max(initial=0), right.max(initial=0), row.max(initial=0)) + 1, -1)
+    out, sides = np.zeros((len(left), len(right)), bool), []
+    for side in (left, right):
+        at[:] = -1
+        at[side] = np.arange(len(side))
+        own = at[row] >= 0
+        order = np.argsort(keys[own], kind="stable")
+        found, start, count = np.unique(keys[own][order], return_index=True, return_counts=True)
+        sides.append((found, start, count, at[row][own][order]))
+    (found, start, count, rows), (others, begin, number, columns) = sides
+    _, i, k = np.intersect1d(found, others, assume_unique=True, return_indices=True)
+    for lo, n, first, m in zip(start[i].tolist(), count[i].tolist(), begin[k].tolist(), number[k].tolist(), strict=True):
+        out[rows[lo : lo + n, None], columns[first : first + m]] = True
+    return out
 
 
 def _joined(inliers: int):
+    """Of the images of a pair of blocks, links that join all classes which any link between two that share a key joins."""
+
     def run(table: pa.Table) -> pa.Table:
-        rep, label, side = (table.column(c).to_numpy() for c in ("rep", "class", "side"))
-        label, own, out = label.copy(), table.column("own")[0].as_py(), []
+        rep, block = (table.column(c).to_numpy() for c in ("rep", "block"))
+        keys = table.column("keys").combine_chunks()
+        many = keys.value_lengths().to_numpy()
         image = [_arrays(*x) for x in zip(table.column("places"), table.column("tests"), strict=True)]
-        left = np.flatnonzero(side == 0)
+        x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
+        order = np.lexsort((rep, -many))  # those with most shared keys come first
+        left, right, out = order[block[order] == x], order[block[order] == y], []
+        share = _sharing(keys.flatten().to_numpy(), np.repeat(np.arange(len(rep)), many), left, right)
+        label = np.arange(len(rep))
         for n, i in enumerate(left):
-            for j in left[n + 1 :] if own else np.flatnonzero(side == 1):
-                if label[i] != label[j] and consensus(*image[i], *image[j]) >= inliers:
-                    out.append((int(min(rep[i], rep[j])), int(max(rep[i], rep[j]))))
-                    label[label == label[j]] = label[i]
+            if x == y:
+                share[n, : n + 1] = False
+            j = right[share[n]]
+            j = j[label[j] != label[i]]
+            # of each class one, then two, four and so on: the first link makes the rest needless
+            j = j[np.argsort(label[j], kind="stable")]
+            rank, most = np.arange(len(j)) - np.searchsorted(label[j], label[j]), 1
+            while len(j):
+                some, j, rank = j[rank < most], j[rank >= most], rank[rank >= most]
+                for k in some:
+                    a, b = (i, k) if rep[i] < rep[k] else (k, i)
+                    if label[a] != label[b] and consensus(*image[a], *image[b], inliers) >= inliers:
+                        out.append((int(rep[a]), int(rep[b])))
+                        label[label == label[b]] = label[a]
+                still = label[j] != label[i]
+                j, rank, most = j[still], rank[still], 2 * most + 1
         return pa.table([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
 
+def _links(images: DataFrame, inliers: int, block: int) -> DataFrame:
+    """Links ``a, b`` that join all classes which any link between two of ``images(rep, places, tests)`` that share a key
+    joins. The files of ``images`` are deleted."""
+    n, corners, held = (x or 0 for x in images.agg(F.count("*"), F.sum(F.octet_length("places") / 16), F.sum(F.octet_length("places") + F.octet_length("tests"))).first())
+    blocks = max(-(-n // block), int(-(-corners // BLOCK_CORNERS)), min(BLOCKS, n // LEAST_IMAGES), 1)
+    mine = F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int")
+
+    same = Window.partitionBy("key")
+    placed = images.mapInArrow(_keyed, "rep long, key long").withColumn("size", F.count("*").over(same)).where("size > 1")
+    placed = placed.withColumn("blocks", F.collect_set(mine).over(same))
+    met = materialise(placed.groupBy("rep").agg(F.collect_list("key").alias("keys"), F.flatten(F.collect_set("blocks")).alias("blocks")), "media-met")
+    relieve(images.sparkSession, 0)
+    past, images = images, materialise(images.join(met.withColumn("blocks", F.array_distinct("blocks")), "rep").withColumn("block", mine), "media-sharing")
+    forget(past)
+    forget(met)
+    relieve(images.sparkSession, 0)
+
+    bytes_, pairs = F.octet_length("places") + F.octet_length("tests") + 8 * F.size("keys"), blocks * (blocks + 1) // 2
+    moved = images.agg(F.sum(bytes_ * F.size("blocks"))).first()[0] or 0
+    turns = min(pairs, max(1, -(-moved // max(TURN_BYTES, TURN_SHARE * int(held)))))
+    tasks = min(4 * -(-pairs // turns), 10 * images.sparkSession.sparkContext.defaultParallelism)
+    nth = f"least(block, k) * (2L * {blocks} - least(block, k) + 1) div 2 + abs(block - k)"  # of the pair of blocks
+    found = []
+    for turn in range(turns):
+        own = images.withColumn("other", F.explode(F.expr(f"filter(blocks, k -> ({nth}) % {turns} = {turn})")))
+        own = own.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")}).drop("blocks", "other").repartition(tasks, "x", "y")
+        found.append(materialise(own.groupBy("x", "y").applyInArrow(_joined(inliers), "a long, b long"), "media-links"))
+        relieve(images.sparkSession, 0)  # or this turn's shuffle files would stay beside the next one's
+    links = found[0]
+    for more in found[1:]:
+        links = links.unionByName(more)
+    out = materialise(links, "media-all-links")
+    for table in (images, *found):
+        forget(table)
+    return out
+
+
 def media_copies(media: DataFrame, inliers: int = INLIERS, block: int = BLOCK_IMAGES) -> DataFrame:
     """One row for each row of ``media(media_id, content)``: ``media_id``, ``class_id`` (least id of its class),
     ``n_copies`` (rows with the same bytes)."""
@@ -286,26 +357,9 @@ def media_copies(media: DataFrame, inliers: int = INLIERS, block: int = BLOCK_IM
         described = described.dropDuplicates(["rep"])
     images = materialise(described, "images")
 
-    placed = images.mapInArrow(_keyed, "rep long, key long")
-    sizes = placed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    met = materialise(placed.join(sizes, "key"), "media-buckets")
-    central = met.groupBy("rep").agg(F.sum("size").alias("meets"))
-    leaders = met.join(central, "rep").groupBy("key").agg((-F.max(F.struct("meets", (-F.col("rep")).alias("rep")))["rep"]).alias("leader"))
-    # a bucket of two holds no more pairs than that with its leader
-    seats = met.join(leaders, "key").where("rep <> leader").groupBy("leader", "rep").agg(F.max("size").alias("size"))
-    seats = materialise(seats, "media-seats")
-    tried = seats.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
-    links = materialise(_links(tried, images, inliers), "media-links")
+    links = _links(images, inliers, block)
     classes = components(links)
-
-    corners = images.select("rep", (F.octet_length("places") / 16).cast("long").alias("n"))
-    members = seats.where("size > 2").select("leader", "rep").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
-    members = materialise(members.withColumn("class", F.coalesce("class", "rep")).join(corners, "rep"), "media-members")
-    found = across_blocks(members, images, _joined(inliers), block, BLOCK_CORNERS)
-    some, links = links, materialise(links.unionByName(found), "media-all-links")
-    classes = components(links)
-    for table in (met, seats, members, images, some, links):
-        forget(table)
+    forget(links)
 
     member = copies.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("md", F.coalesce("class", "rep").alias("class"), "n_copies")
     out, own = every.select("media_id", "md").join(member, "md", "left"), F.col("media_id").isNull() | F.col("class").isNull()
